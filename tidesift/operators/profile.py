@@ -92,12 +92,10 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], fanout: i
             out.update({rank: info["lo"] for rank in wanted})
             continue
         if info["n"] <= EXACT_PERCENTILE_ROWS:
-            places = sorted(set(wanted.values()))
-            top = max(info["n"] - 1, 1)
-            found = part.agg(F.percentile("v", [p / top for p in places]).alias("p")).first()["p"]
-            # percentile interpolates; a rank that is hit up to rounding snaps to its value
-            by_place = dict(zip(places, found))
-            out.update({rank: by_place[place] for rank, place in wanted.items()})
+            # the middle of a rank's own step of the cumulative share: no rounding can miss it
+            shares = ", ".join(repr((place + 0.5) / info["n"]) for place in wanted.values())
+            found = part.agg(F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY v)").alias("p")).first()["p"]
+            out.update(dict(zip(wanted, found)))
             continue
         steps = [i / fanout for i in range(1, fanout)]
         cuts = sorted(set(part.agg(F.percentile_approx("v", steps, 10_000).alias("p")).first()["p"]))

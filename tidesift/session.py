@@ -23,6 +23,8 @@ def build_session(app_name: str = "tidesift", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # small stages keep one task per core; large ones are sized by the advisory size
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{key: str(value) for key, value in conf.items()},
