@@ -12,6 +12,9 @@ from tidesift.functions import fixed_values as fixed
 # Letters, digits and underscore; spelled out so Java and RE2 agree on it.
 WORD = r"[\p{L}\p{N}_]"
 
+# Unicode white space, spelled out for the same reason.
+WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 # Alternatives are tried in order: URL, emoticon, tag, arrow, handle, hashtag,
 # mail address, word with inner apostrophe or hyphen, number, word, dots, symbol.
 _EYES = r"[:;=8xX]"
@@ -39,16 +42,16 @@ SOCIAL_TOKEN = "|".join(
 def norm_ws(text: Column) -> Column:
     """Null to empty, lower case, outer blanks off, inner blanks collapsed."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.trim(F.regexp_replace(lowered, r"\s+", " "))
+    return F.trim(F.regexp_replace(lowered, WS + "+", " "))
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, WS + "+", " "))
 
 
 def words(text: Column) -> Column:
     """Whitespace tokens; the empty text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WS + "+"), lambda w: w != "")
 
 
 def char_shingles(text: Column, k: int = 5) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -155,12 +155,19 @@ def histogram(df: DataFrame, column: str, by: str, bins: int = 20) -> DataFrame:
     )
 
 
-def token_length_profile(df: DataFrame, field: str = "tweet_text", frac="0.1", key: str = "uid", seed: int = SEED):
+def token_length_profile(
+    df: DataFrame,
+    field: str = "tweet_text",
+    frac="0.1",
+    key: str = "uid",
+    seed: int = SEED,
+    tokenize: Callable[[Column], Column] = tx.social_tokenize,
+) -> DataFrame:
     """p90, p95, p99 and maximum of the token count on an exact-size sample.
 
     The aggregate holds one entry per distinct length, not per row.
     """
-    lengths = sample_frac(df, frac, key, seed).select(F.size(tx.social_tokenize(F.col(field))).alias("n"))
+    lengths = sample_frac(df, frac, key, seed).select(F.size(tokenize(F.col(field))).alias("n"))
     return lengths.agg(
         F.percentile("n", 0.90).alias("p90"),
         F.percentile("n", 0.95).alias("p95"),
