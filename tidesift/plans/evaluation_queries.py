@@ -27,8 +27,8 @@ def _(spark, sf):
 
 @query(
     "I2_value_counts_within",
-    """SELECT l_returnflag, l_linenumber, count(*) AS n_rows,
-       round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS share FROM lineitem GROUP BY ALL""",
+    """WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL)
+       SELECT *, round(n_rows / sum(n_rows) OVER (PARTITION BY l_returnflag), 6) AS share FROM c""",
 )
 def _(spark, sf):
     return profile.value_counts_within(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber")
@@ -226,7 +226,7 @@ def report_sql(by: str | None = None) -> str:
     using = f"USING ({by})" if by else "ON true"
     return f"""{WITH_SCORED}, p AS (SELECT {key}CAST(informative AS INTEGER) AS y, predicted AS p FROM scored),
     k AS (SELECT {key}y AS cls FROM p UNION SELECT {key}p FROM p),
-    c AS (SELECT {'k.' + by + ',' if by else ''} cls, count_if(y = cls AND p = cls) AS tp, count_if(y = cls) AS support, count_if(p = cls) AS guessed
+    c AS (SELECT {'k.' + by + ',' if by else ''} cls, count(*) FILTER (y = cls AND p = cls) AS tp, count_if(y = cls) AS support, count_if(p = cls) AS guessed
           FROM k JOIN p {using} GROUP BY ALL),
     s AS (SELECT *, CASE WHEN guessed > 0 THEN tp / guessed ELSE 0 END AS precision,
           CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM c),
@@ -237,7 +237,8 @@ def report_sql(by: str | None = None) -> str:
       UNION ALL SELECT {key}'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f {'GROUP BY ' + by if by else ''}
       UNION ALL SELECT {key}'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
         sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f {'GROUP BY ' + by if by else ''})
-    SELECT {key}name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u"""
+    SELECT {key}name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+      CAST(support AS BIGINT) AS support FROM u"""
 
 
 @query("J5_classification_report", report_sql())

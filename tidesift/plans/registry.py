@@ -81,7 +81,7 @@ def first_wins_sql(edges: str, name: str) -> str:
     """CTEs ending in ``name`` (uid): rows dropped by the sequential scan over
     ``edges`` (src, dst). Needs WITH RECURSIVE."""
     return f"""
-{name}_nodes AS (
+{name}_nodes AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY src) AS i, src, list(dst) AS later FROM {edges} GROUP BY src),
 {name}_walk AS (
   SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS dropped

@@ -42,8 +42,8 @@ out_topic AS (SELECT * FROM corpus WHERE subset = 'out_topic')"""
 
 
 def quota_sql(disaster: str, weather: str, times: str) -> str:
-    return f"""(SELECT CAST(ceil(count_if(informative) * {times}) AS BIGINT) - count_if(NOT informative)
-      - (SELECT count(*) FROM {weather}) FROM {disaster})"""
+    return f"""(SELECT CAST(ceil(count_if(informative) * {times}) - count_if(NOT informative)
+      - (SELECT count(*) FROM {weather}) AS BIGINT) FROM {disaster})"""
 
 
 @query(
