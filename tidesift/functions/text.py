@@ -15,12 +15,14 @@ WORD = r"[\p{L}\p{N}_]"
 # Unicode white space, spelled out for the same reason.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-# Alternatives are tried in order: URL, emoticon, tag, arrow, handle, hashtag,
+# Alternatives are tried in order: plain word, URL, emoticon, tag, arrow, handle, hashtag,
 # mail address, word with inner apostrophe or hyphen, number, word, dots, symbol.
 _EYES = r"[:;=8xX]"
 _MOUTH = r"[\)\]\(\[dDpPoOcC3/\}\{@\|\\<>]"
 SOCIAL_TOKEN = "|".join(
     [
+        # most tokens: a word whose next character cannot make it part of anything longer
+        r"\p{L}{2,}+(?![\p{L}\p{N}_'\-:/.@])",
         r"(?i:https?://|www\.)[^\s<>]*[^\s<>.,;:!?…\"')\]]",
         rf"(?<!\w)[<>O]?[:;=8][\-o\*']?{_MOUTH}(?!\w)",
         r"</?3(?!\w)",

@@ -63,11 +63,9 @@ def cogroup_slices(
     return a.cogroup(b).applyInArrow(kernel, schema)
 
 
-def list_lengths(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def list_lengths(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(flat values, list length per row)."""
-    array = column.combine_chunks()
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.diff(np.asarray(array.offsets))
     return np.asarray(array.flatten()), lengths
 
@@ -89,6 +87,14 @@ class CountBlock:
         self.kinds = np.bincount(self.row, minlength=n).astype(np.float64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats hashing on these arrays."""
+    ordered = np.sort(values)
+    first = np.ones(len(ordered), dtype=bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    return ordered[first]
+
+
 def count_products(a: CountBlock, b: CountBlock, binary: bool) -> np.ndarray:
     """Exact products of all row pairs of two blocks.
 
@@ -96,7 +102,9 @@ def count_products(a: CountBlock, b: CountBlock, binary: bool) -> np.ndarray:
     their short lists of rows.
     """
     na, nb = len(a.uid), len(b.uid)
-    vocabulary = np.intersect1d(a.gram, b.gram)
+    small, large = sorted((_distinct(a.gram), _distinct(b.gram)), key=len)
+    at = np.minimum(np.searchsorted(large, small), max(len(large) - 1, 0))
+    vocabulary = small[large[at] == small] if len(large) else small
 
     def indexed(block: CountBlock):
         at = np.searchsorted(vocabulary, block.gram)

@@ -9,15 +9,11 @@ from tidesift.operators import neardup, vector_search
 from tidesift.operators.greedy import greedy_first_wins
 from tidesift.plans import similarity_sql as sql
 from tidesift.plans.registry import first_wins_sql, query
-from tidesift.plans.views import table, vectors
+from tidesift.plans.views import table, texts, vectors
 
 LIMIT = 0.35  # the largest cosine of the given vectors is about 0.5
 
 
-def _texts(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("tweet_text"))
-
-
 def _label_means(spark, sf):
     """One query vector per label, averaged over the whole table."""
     cells = vectors(spark, sf).select("label", F.posexplode("embedding").alias("i", "x"))
@@ -28,18 +24,18 @@ def _label_means(spark, sf):
 
 @query("G1_ngram_cosine_pairs", sql.NGRAM_SQL)
 def _(spark, sf):
-    pairs = neardup.ngram_cosine_pairs(_texts(spark, sf), 0.75)
+    pairs = neardup.ngram_cosine_pairs(texts(spark, sf), 0.75)
     return pairs.select("src", "dst", F.round("cosine", 6).alias("cosine"))
 
 
 @query("G2_jaccard_pairs", sql.JACCARD_SQL)
 def _(spark, sf):
-    return neardup.jaccard_pairs(_texts(spark, sf), 0.8).select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+    return neardup.jaccard_pairs(texts(spark, sf), 0.8).select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("G3_minhash_pairs", sql.JACCARD_SQL)
 def _(spark, sf):
-    return neardup.minhash_pairs(_texts(spark, sf), 0.8).select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+    return neardup.minhash_pairs(texts(spark, sf), 0.8).select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("G5_cosine", sql.COSINE_SQL)
@@ -104,12 +100,12 @@ def _(spark, sf):
 
 @query("G10_near_dedup_ngram", sql.NGRAM_DEDUP_SQL)
 def _(spark, sf):
-    return neardup.near_dedup(_texts(spark, sf), "ngram", threshold=0.75).select("uid")
+    return neardup.near_dedup(texts(spark, sf), "ngram", threshold=0.75).select("uid")
 
 
 @query("G10_near_dedup_minhash", sql.MINHASH_DEDUP_SQL)
 def _(spark, sf):
-    return neardup.near_dedup(_texts(spark, sf), "minhash", threshold=0.8).select("uid")
+    return neardup.near_dedup(texts(spark, sf), "minhash", threshold=0.8).select("uid")
 
 
 @query("G10_near_dedup_radius", sql.RADIUS_DEDUP_SQL)

@@ -13,7 +13,7 @@ from tidesift.operators.profile import token_length_profile
 from tidesift.operators.vector_search import embed_text
 from tidesift.plans.registry import place, query, split_sql
 from tidesift.plans.similarity_sql import MINHASH_DEDUP_SQL
-from tidesift.plans.views import CORPUS_SQL, corpus, scratch, table, vectors
+from tidesift.plans.views import CORPUS_SQL, corpus, scratch, table, texts, vectors
 from tidesift.sources import delimited, stored
 
 WITH_CORPUS = f"WITH {CORPUS_SQL}"
@@ -250,8 +250,7 @@ def _(spark, sf):
 
 @query("B10_min_words", f"SELECT doc_id AS uid FROM documents WHERE len({words_sql('text')}) >= 3")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("tweet_text"))
-    return clean.min_words(docs).select("uid")
+    return clean.min_words(texts(spark, sf)).select("uid")
 
 
 @query(
@@ -533,8 +532,7 @@ def _(spark, sf):
 
 @query("E6_exact_prepass", f"SELECT min(doc_id) AS uid FROM documents GROUP BY {norm_sql('text')}")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("tweet_text"))
-    return dedup.exact_prepass(docs).select("uid")
+    return dedup.exact_prepass(texts(spark, sf)).select("uid")
 
 
 @query(
@@ -551,13 +549,9 @@ def _(spark, sf):
 # ---- text ----------------------------------------------------------------------
 
 
-def _texts(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("tweet_text"))
-
-
 @query("F1_norm_ws", f"SELECT doc_id AS uid, {norm_sql('text')} AS norm FROM documents")
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.norm_ws(F.col("tweet_text")).alias("norm"))
+    return texts(spark, sf).select("uid", tx.norm_ws(F.col("tweet_text")).alias("norm"))
 
 
 @query(
@@ -568,7 +562,7 @@ def _(spark, sf):
     SELECT uid, len(grams) AS n_shingles, list_min(grams) AS lowest, list_max(grams) AS highest FROM g""",
 )
 def _(spark, sf):
-    grams = _texts(spark, sf).select("uid", tx.char_shingles(tx.norm_ws(F.col("tweet_text"))).alias("grams"))
+    grams = texts(spark, sf).select("uid", tx.char_shingles(tx.norm_ws(F.col("tweet_text"))).alias("grams"))
     return grams.select(
         "uid",
         F.size("grams").cast("long").alias("n_shingles"),
@@ -586,7 +580,7 @@ def _(spark, sf):
     FROM c GROUP BY uid""",
 )
 def _(spark, sf):
-    grams = _texts(spark, sf).select("uid", F.explode(tx.one_two_grams(F.col("tweet_text"))).alias("gram"))
+    grams = texts(spark, sf).select("uid", F.explode(tx.one_two_grams(F.col("tweet_text"))).alias("gram"))
     counts = grams.groupBy("uid", "gram").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("uid").agg(
         F.count(F.lit(1)).alias("n_distinct"),
@@ -601,7 +595,7 @@ TYPOGRAPHY_SQL = "replace(replace({}, '’', ''''), '…', '...')"
 
 @query("F4_fix_typography", f"SELECT doc_id AS uid, {TYPOGRAPHY_SQL.format('text')} AS fixed FROM documents")
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.fix_typography(F.col("tweet_text")).alias("fixed"))
+    return texts(spark, sf).select("uid", tx.fix_typography(F.col("tweet_text")).alias("fixed"))
 
 
 @query(
@@ -619,7 +613,7 @@ def _(spark, sf):
 @query("F6_social_tokenize")
 def _(spark, sf):
     tokens = tx.social_tokenize(F.col("tweet_text"))
-    return _texts(spark, sf).select("uid", F.array_join(tokens, " ").alias("tokens"))
+    return texts(spark, sf).select("uid", F.array_join(tokens, " ").alias("tokens"))
 
 
 @query(
@@ -627,7 +621,7 @@ def _(spark, sf):
     f"SELECT doc_id AS uid, {replace_sql('text', fixed.CONTRACTION_RULES)} AS split_text FROM documents",
 )
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.split_contractions(F.col("tweet_text")).alias("split_text"))
+    return texts(spark, sf).select("uid", tx.split_contractions(F.col("tweet_text")).alias("split_text"))
 
 
 @query(
@@ -635,7 +629,7 @@ def _(spark, sf):
     f"SELECT doc_id AS uid, {replace_sql('text', longest_first(fixed.EMOTICONS))} AS emoji_text FROM documents",
 )
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.emoticons_to_emoji(F.col("tweet_text")).alias("emoji_text"))
+    return texts(spark, sf).select("uid", tx.emoticons_to_emoji(F.col("tweet_text")).alias("emoji_text"))
 
 
 @query(
@@ -643,7 +637,7 @@ def _(spark, sf):
     f"SELECT doc_id AS uid, {replace_sql('text', longest_first(fixed.ABBREVIATIONS))} AS expanded FROM documents",
 )
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.expand_abbreviations(F.col("tweet_text")).alias("expanded"))
+    return texts(spark, sf).select("uid", tx.expand_abbreviations(F.col("tweet_text")).alias("expanded"))
 
 
 EMOJI_PAIRS = longest_first({k: f":{v}:" for k, v in fixed.EMOJI_NAMES.items()})
@@ -652,12 +646,12 @@ EMOJI_TEXT_SQL = replace_sql("text", longest_first(fixed.EMOTICONS))
 
 @query("F10_demojize", f"SELECT doc_id AS uid, {replace_sql(EMOJI_TEXT_SQL, EMOJI_PAIRS)} AS named FROM documents")
 def _(spark, sf):
-    return _texts(spark, sf).select("uid", tx.demojize(tx.emoticons_to_emoji(F.col("tweet_text"))).alias("named"))
+    return texts(spark, sf).select("uid", tx.demojize(tx.emoticons_to_emoji(F.col("tweet_text"))).alias("named"))
 
 
 @query("F11_normalize_text")
 def _(spark, sf):
-    return _texts(spark, sf).select(
+    return texts(spark, sf).select(
         "uid",
         tx.normalize_text(F.col("tweet_text")).alias("plain"),
         tx.normalize_text(F.col("tweet_text"), "bertweet").alias("bertweet"),
@@ -676,6 +670,6 @@ def _(spark, sf):
 
 @query("G4_embed_text")
 def _(spark, sf):
-    rows = embed_text(_texts(spark, sf))
+    rows = embed_text(texts(spark, sf))
     squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     return rows.select("uid", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("length"), "model_name")

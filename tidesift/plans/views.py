@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidesift.operators.blocks import spread
 from tidesift.session import checkpoint_dir
 
 
@@ -18,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uid, tweet_text) of all documents, on all cores even if they are one small file."""
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(F.col("doc_id").alias("uid"), F.col("text").alias("tweet_text")), "uid")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for files a query writes and reads back."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
