@@ -102,6 +102,12 @@ def read_table(
     return df if frac is None else sample_rows(df, frac, seed)
 
 
+def has_files(spark: SparkSession, root: str, pattern: str) -> bool:
+    """Whether any file below ``root`` matches; lists names only."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return not listed.load(root).select("path").isEmpty()
+
+
 def sample_rows(df: DataFrame, frac, seed: int = SEED) -> DataFrame:
     """An exact-size sample of rows without a key.
 
