@@ -9,7 +9,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidesift.operators.rank import MAX_LITERAL_CLASSES, assign_parts, with_rank
 from tidesift.operators.sampling import (
@@ -229,7 +228,9 @@ def event_holdout_split(
 
 
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
-    """Rows and share of each part; the total is summed over the few part counts."""
+    """Rows and share of each part; the few part counts meet in one row."""
     sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))
-    return sizes.withColumn("share", F.round(F.col("n_rows") / total, 6))
+    gathered = sizes.agg(F.collect_list(F.struct(split, "n_rows")).alias("_parts"), F.sum("n_rows").alias("_total"))
+    return gathered.select("_total", F.inline("_parts")).select(
+        split, "n_rows", F.round(F.col("n_rows") / F.col("_total"), 6).alias("share")
+    )

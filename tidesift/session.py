@@ -56,27 +56,29 @@ class Workspace:
 
     ``keep(df)`` writes the table once and reads it back: the plan restarts
     from files, so a lost executor re-reads instead of recomputing earlier
-    rounds, and AQE sees true table sizes. ``drop_before(n)`` frees tables of
-    finished rounds.
+    rounds, and AQE sees true table sizes. ``free(df)`` deletes a kept table no
+    later plan reads.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables: list[str] = []
+        self.kept: dict[int, tuple[DataFrame, str]] = {}
+        self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/t{len(self.tables)}"
+        path = f"{self.root}/t{self.count}"
+        self.count += 1
         df.write.parquet(path)
-        self.tables.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.kept[id(kept)] = (kept, path)
+        return kept
 
-    def drop_before(self, index: int) -> None:
-        """Delete this job's own tables older than ``index``."""
+    def free(self, *kept: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for i, path in enumerate(self.tables[:index]):
+        for df in kept:
+            _, path = self.kept.pop(id(df), (None, None))
             if path:
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(conf).delete(target, True)
-                self.tables[i] = ""
