@@ -157,3 +157,11 @@ def test_lookup_event_fail(spark):
     assert labels.lookup_event(rows, events, "k").count() == 1
     with pytest.raises(Exception, match="unknown event: b"):
         labels.lookup_event(rows, events, "k", "fail").collect()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_min_words(spark, n):
+    texts = ["", "  ", "one", " one two ", "one two three", "a\u00a0b\nc\td", None]
+    df = spark.createDataFrame([(t,) for t in texts], "tweet_text string")
+    kept = [r[0] for r in clean.min_words(df, n=n).collect()]
+    assert kept == [t for t in texts if t is not None and len(t.split()) >= n]

@@ -56,6 +56,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS + "+"), lambda w: w != "")
 
 
+def at_least_words(n: int) -> str:
+    """Pattern found in texts of at least n (one or more) whitespace tokens."""
+    other = "[^" + WS[1:]
+    return rf"\A{WS}*+(?:{other}++{WS}++){{{n - 1}}}{other}"
+
+
 def char_shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-character grams; a text of at most k characters is its own gram.
 

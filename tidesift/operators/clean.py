@@ -94,7 +94,8 @@ def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
 
 
 def min_words(df: DataFrame, column: str = "tweet_text", n: int = 3) -> DataFrame:
-    return df.filter(F.size(tx.words(F.col(column))) >= n)
+    """Rows with at least n whitespace tokens; the match ends at the n-th token's start."""
+    return df.filter(F.col(column).rlike(tx.at_least_words(n)))
 
 
 def has_label(df: DataFrame, column: str = "humanitarian_label") -> DataFrame:
