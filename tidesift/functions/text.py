@@ -15,6 +15,8 @@ WORD = r"[\p{L}\p{N}_]"
 # Unicode white space, spelled out for the same reason.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+NON_WS = "[^" + WS[1:]
+
 # Alternatives are tried in order: plain word, URL, emoticon, tag, arrow, handle, hashtag,
 # mail address, word with inner apostrophe or hyphen, number, word, dots, symbol.
 _EYES = r"[:;=8xX]"
@@ -58,8 +60,7 @@ def words(text: Column) -> Column:
 
 def at_least_words(n: int) -> str:
     """Pattern found in texts of at least n (one or more) whitespace tokens."""
-    other = "[^" + WS[1:]
-    return rf"\A{WS}*+(?:{other}++{WS}++){{{n - 1}}}{other}"
+    return rf"\A{WS}*+(?:{NON_WS}++{WS}++){{{n - 1}}}{NON_WS}"
 
 
 def char_shingles(text: Column, k: int = 5) -> Column:
