@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesift.llm.common import UPPER, ascii_lower, documents, text_of
 from tidesift.llm.exact_dedup import mark_copies
+from tidesift.llm.packing import pack
 from tidesift.llm.quality_rules import judge
+from tidesift.llm.token_files import new_path, read_tokens, write_tokens
 from tidesift.plans.registry import query
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 _LOWER_SQL = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -67,3 +72,17 @@ FROM n JOIN g USING (t)""",
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its group that stays."""
     return mark_copies(documents(spark, sf_dir), text_sha256=F.sha2(ascii_lower(text_of()), 256))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 ids."""
+    return pack(documents(spark, sf_dir), BYTE_VOCABULARY)
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written, then read back from the files."""
+    path = new_path(spark)
+    write_tokens(documents(spark, sf_dir), path, BYTE_VOCABULARY)
+    return read_tokens(spark, path, with_ids=False)
