@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from tidesift.llm.common import UPPER, ascii_lower, documents, text_of
 from tidesift.llm.exact_dedup import mark_copies
 from tidesift.llm.packing import pack
+from tidesift.llm.piece_counts import count_tokens
 from tidesift.llm.quality_rules import judge
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
+from tidesift.llm.word_bpe import round_trip_digests
 from tidesift.plans.registry import query
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 _LOWER_SQL = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -86,3 +89,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark)
     write_tokens(documents(spark, sf_dir), path, BYTE_VOCABULARY)
     return read_tokens(spark, path, with_ids=False)
+
+
+@query("op5_word_bpe")
+def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return round_trip_digests(documents(spark, sf_dir), WORD_VOCABULARY)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of all documents."""
+    return count_tokens(documents(spark, sf_dir), BYTE_VOCABULARY)
