@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidesift.llm.common import UPPER, ascii_lower, documents, text_of
 from tidesift.llm.exact_dedup import mark_copies
+from tidesift.llm.line_dedup import deduplicate_lines
 from tidesift.llm.packing import pack
 from tidesift.llm.piece_counts import count_tokens
 from tidesift.llm.quality_rules import judge
+from tidesift.llm.simhash import near_groups
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
 from tidesift.llm.word_bpe import round_trip_digests
 from tidesift.plans.registry import query
@@ -101,3 +103,29 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word pieces of all documents."""
     return count_tokens(documents(spark, sf_dir), BYTE_VOCABULARY)
+
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return near_groups(documents(spark, sf_dir)).withColumn("fingerprint", digits)
+
+
+@query(
+    "op2_line_dedup",
+    f"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS x, {_LOWER_SQL.format(f"trim(ls[i], {_BLANKS_SQL})")} AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+often AS (
+  SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, i, x, coalesce(doc_id <> holder, false) AS lost FROM l LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after, and the digest of what is left."""
+    return deduplicate_lines(documents(spark, sf_dir), digest=True)
