@@ -14,6 +14,7 @@ from tidesift.llm.piece_counts import count_tokens
 from tidesift.llm.quality_rules import judge
 from tidesift.llm.simhash import near_groups
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
+from tidesift.llm.toxicity import fit_toxicity
 from tidesift.llm.word_bpe import round_trip_digests
 from tidesift.plans.registry import query
 
@@ -129,3 +130,10 @@ FROM m GROUP BY doc_id""",
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after, and the digest of what is left."""
     return deduplicate_lines(documents(spark, sf_dir), digest=True)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document."""
+    docs = documents(spark, sf_dir)
+    return fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
