@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidesift.llm.common import UPPER, ascii_lower, documents, text_of
 from tidesift.llm.exact_dedup import mark_copies
 from tidesift.llm.line_dedup import deduplicate_lines
+from tidesift.llm.lm_scores import score_texts
 from tidesift.llm.packing import pack
 from tidesift.llm.piece_counts import count_tokens
 from tidesift.llm.quality_rules import judge
@@ -137,3 +138,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document."""
     docs = documents(spark, sf_dir)
     return fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return score_texts(documents(spark, sf_dir))
