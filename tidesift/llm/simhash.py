@@ -159,9 +159,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay: of every component the document with the least id."""
     space = Workspace(docs.sparkSession, "simhash")
-    groups = space.keep(near_groups(docs, id_column, text_column).select(id_of(id_column).alias("id"), id_of("component_id").alias("c")))
-    stay = groups.filter("id = c").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(stay.select("id"), id_of(id_column) == F.col("id"), "left_semi")
-    if not stay.filter("n > 1").isEmpty():
+    groups = space.keep(
+        near_groups(docs, id_column, text_column).select(id_of(id_column).alias("_nd_id"), id_of("component_id").alias("_nd_first"))
+    )
+    stay = groups.filter("_nd_id = _nd_first").groupBy("_nd_id").agg(F.count(F.lit(1)).alias("_nd_n"))
+    kept = docs.join(stay.select("_nd_id"), id_of(id_column) == F.col("_nd_id"), "left_semi")
+    if not stay.filter("_nd_n > 1").isEmpty():
         kept = kept.dropDuplicates([id_column])
     return kept

@@ -230,18 +230,27 @@ def _train_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Record
         )
 
 
+def _scored(texts, tokens: _Tokens, model: Calibrated | float) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(texts), model)
+    return model.score(np.array([features(t.as_py() or "", tokens) for t in texts]).reshape(-1, N_FEATURES))
+
+
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     lexicon, model = shared.value
     tokens = _Tokens(lexicon)
     for batch in batches:
-        if isinstance(model, float):
-            score = np.full(batch.num_rows, model)
-        else:
-            x = np.array([features(t.as_py(), tokens) for t in batch.column(1)]).reshape(-1, N_FEATURES)
-            score = model.score(x)
+        score = _scored(batch.column(1), tokens, model)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], names=["doc_id", "held_out", "score"])
 
 
+def _clean_rows(batches: Iterator[pa.RecordBatch], shared, text_column: str) -> Iterator[pa.RecordBatch]:
+    lexicon, model = shared.value
+    tokens = _Tokens(lexicon)
+    for batch in batches:
+        yield batch.filter(pa.array(_scored(batch.column(text_column), tokens, model) < THRESHOLD))
+
+
 class ToxicityModel:
     """Lexicon and calibrated trees, or a constant if there was nothing to learn."""
 
@@ -260,6 +269,11 @@ class ToxicityModel:
         predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
         return scored.select(F.col("doc_id").alias(id_column), "held_out", "score", predicted)
 
+    def keep_clean(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
+        """The rows that are not predicted toxic, with all their columns."""
+        shared = docs.sparkSession.sparkContext.broadcast((self.lexicon, self.model))
+        return docs.mapInArrow(lambda b: _clean_rows(b, shared, text_column), docs.schema)
+
 
 def fit_toxicity(
     docs: DataFrame,
@@ -282,7 +296,8 @@ def fit_toxicity(
         return ToxicityModel(Lexicon({}, 0, 0), float(toxic / n) if n else 0.0)
     # at most about ``sample_rows`` pairs of numbers: small enough for every executor at any input size
     sample = F.broadcast(usable.filter(F.col("draw") < int(1_000_000 * min(1.0, sample_rows / n))))
-    rows = docs.join(sample, id_of(id_column) == F.col("l_id")).select(text_of(text_column).alias("text"), F.col("y"), "draw")
+    texts = docs.select(id_of(id_column).alias("l_id"), text_of(text_column).alias("text"))
+    rows = texts.join(sample, "l_id").select("text", "y", "draw")
 
     counted = rows.select("text", "y").mapInArrow(_unit_counts, "unit string, t long, n long")
     counted = counted.groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).filter(F.col("t") >= LEAST_DOCS)
