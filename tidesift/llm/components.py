@@ -26,7 +26,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def _signature(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum("v")).first())
+    return tuple(links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
 
 
 def components(links: DataFrame, space: Workspace) -> DataFrame:
