@@ -57,18 +57,40 @@ def test_sizes_and_errors(table):
             sampling.sample_n(table, bad)
 
 
-def test_stratified_by_many_classes_equals_few(table, monkeypatch):
-    by_rank = splits.stratified_split(table, "many")
-    monkeypatch.setattr(splits, "MAX_LITERAL_CLASSES", 1000)
-    literal = splits.stratified_split(table, "many")
-    assert sorted(map(tuple, by_rank.select("uid", "split").collect())) == sorted(
-        map(tuple, literal.select("uid", "split").collect())
-    )
-    assert {r["split"]: r["count"] for r in by_rank.groupBy("split").count().collect()} == {
-        "train": 800,
-        "validation": 100,
-        "test": 100,
-    }
+@pytest.mark.parametrize("classes", [3, 500])
+def test_stratified_with_a_null_class(table, classes):
+    by = F.when(F.col("uid") % 7 > 0, F.concat(F.lit("c"), F.col("uid") % classes))
+    rows = table.select("uid", by.alias("by"))
+    counts = {r["by"]: r["count"] for r in rows.groupBy("by").count().collect()}
+    order = dict(sorted(counts.items(), key=lambda item: (item[0] is None, item[0] or "")))
+    n_held = math.ceil(0.2 * 1000)
+    got = {}
+    for r in splits.stratified_split(rows, "by").groupBy("by", "split").count().collect():
+        got.setdefault(r["by"], {})[r["split"]] = r["count"]
+
+    def share(sizes, n):
+        total = sum(sizes.values())
+        out = {c: sizes[c] * n // total for c in sizes}
+        for c in sorted(sizes, key=lambda c: (-(sizes[c] * n % total), c is None, c or ""))[: n - sum(out.values())]:
+            out[c] += 1
+        return out
+
+    train = share(order, 1000 - n_held)
+    left = {c: order[c] - train[c] for c in order}
+    val = share(left, n_held - 100)
+    want = {c: {"train": train[c], "validation": val[c], "test": left[c] - val[c]} for c in order}
+    assert got == {c: {k: n for k, n in parts.items() if n} for c, parts in want.items()}
+
+
+def test_balance_and_resample_many_classes(table):
+    rows = table.select("uid", F.when(F.col("uid") < 990, F.col("uid") % 90).alias("by"))
+    balanced = sampling.balance_classes(rows, "by").groupBy("by").count().collect()
+    assert len(balanced) == 91 and {r["count"] for r in balanced} == {10}
+    with pytest.raises(ValueError):
+        sampling.balance_classes(rows, "by", 11)
+    draws = sampling.weighted_resample(rows, "by")
+    assert draws.count() == 990 and draws.filter("by is null").count() == 0
+    assert sampling.weighted_resample(rows.limit(0), "by").count() == 0
 
 
 def test_allocation():

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tidesift.sources import corpora, delimited, pools, stored
 
 
@@ -23,7 +25,7 @@ def test_bad_and_short_lines(spark, tmp_path):
 
 def test_quotes_newlines_and_header_blanks(spark, tmp_path):
     put(tmp_path / "a.csv", 'id , lable\n1,"say ""hi"",\nnow"\n2,plain\n')
-    df = delimited.read_table(spark, str(tmp_path / "a.csv"), variants={"lable": "label"}, types={"id": "long"})
+    df = delimited.read_table(spark, str(tmp_path / "a.csv"), variants={"lable": "label"}, types={"id": "long"}, multi_line=True)
     assert df.columns == ["id", "label"]
     assert rows(df) == [(1, 'say "hi",\nnow'), (2, "plain")]
 
@@ -43,7 +45,7 @@ def test_fraction_is_exact_with_copies(spark, tmp_path):
 def test_write_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, ' pad "q", \n x '), (2, None)], "id long, t string")
     delimited.write_csv(df, str(tmp_path / "out"))
-    assert rows(delimited.read_table(spark, str(tmp_path / "out"), types={"id": "long"})) == rows(df)
+    assert rows(delimited.read_table(spark, str(tmp_path / "out"), types={"id": "long"}, multi_line=True)) == rows(df)
 
 
 def test_two_event_corpus(spark, tmp_path):
@@ -136,8 +138,41 @@ def test_noise_pools(spark, tmp_path):
     put(tmp_path / "Customer Support on Twitter" / "twcs" / "twcs.csv", "author_id,text\n" + "12,please help @12 now\n" * 10)
     put(tmp_path / "twitter_cikm_2010" / "test_set_tweets.txt", "1\t2\tone two three\t2010\n1\t2\tone two\t2010\n")
     put(tmp_path / "Sentiment of Climate Change" / "1377884570_tweet_global_warming.csv", "tweet\nit is warm\nit is warm\n")
-    weather, out_topic = pools.read_noise_pools(spark, str(tmp_path), offset=100)
+    with pytest.raises(FileNotFoundError, match="Twitter_Data.csv"):
+        pools.read_noise_pools(spark, str(tmp_path), offset=100)
+    absent = {s.file for s in pools.SOURCES} - {"full-corpus.csv", "twcs/twcs.csv", "test_set_tweets.txt", "1377884570_tweet_global_warming.csv"}
+    weather, out_topic = pools.read_noise_pools(spark, str(tmp_path), 100, absent)
     assert rows(weather.select("uid", "tweet_text", "informative", "subset")) == [(101, "it is warm", False, "weather")]
     assert sorted(r["uid"] for r in out_topic.collect()) == [102, 103, 104]
     texts = {r["tweet_text"] for r in out_topic.collect()}
     assert texts == {"hey @USER do it", "please help @USER now", "one two three"}
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    put(tmp_path / "t" / "1.csv", "a,b\n1,x\n2,y,bad\n")
+    put(tmp_path / "t" / "2.csv", "b,a\nz,3\n")
+    put(tmp_path / "t" / "3.csv", " a ,bb,c\n4,w,more\n")
+    put(tmp_path / "t" / "4.csv", "")
+    df = delimited.read_table(spark, str(tmp_path / "t"), variants={"bb": "b"})
+    assert sorted(map(tuple, df.select("a", "b", "c").collect())) == [("1", "x", None), ("3", "z", None), ("4", "w", "more")]
+    with pytest.raises(Exception, match="more fields"):
+        delimited.read_table(spark, str(tmp_path / "t"), variants={"bb": "b"}, bad_lines="error").collect()
+
+
+def test_large_files_are_split(spark, tmp_path):
+    put(tmp_path / "big.csv", "id,t\n" + "".join(f"{i},some text of line {i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = delimited.read_table(spark, str(tmp_path / "big.csv"), types={"id": "long"})
+        assert df.rdd.getNumPartitions() > 4
+        assert df.agg({"id": "sum"}).first()[0] == 19_999 * 10_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_nonnumeric_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, 'say "x", y', None)], "i int, d double, t string, n string")
+    delimited.write_csv(df.coalesce(1), str(tmp_path / "q"), quote="nonnumeric")
+    text = "".join(f.read_text() for f in (tmp_path / "q").glob("part-*"))
+    assert text.splitlines()[:2] == ['"i","d","t","n"', '1,2.5,"say ""x"", y",""']

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidesift.session import Workspace
+
 RANGE_DIGITS = 3  # 4,096 ranges
-MAX_LITERAL_CLASSES = 64
 
 _HASH, _RANGE = "_order_hash", "_order_range"
 
@@ -90,7 +91,7 @@ def assign_parts(
     Only the boundary rows are looked up, so the returned expression is a plain
     row-local filter on (hash, key): no wide shuffle, no join, and "all other
     rows" is just another branch of the same expression. For classes known to
-    be few; ``split_parts`` chooses the way.
+    be few; many classes are ranked with ``with_rank``.
     """
     sizes = _range_sizes(df, key, seed, by, digits)
     totals = {value: sum(ranges.values()) for value, ranges in sizes.items()}
@@ -151,3 +152,14 @@ def assign_parts(
         cond = _is_class(by, value)
         result = F.when(cond, part) if result is None else result.when(cond, part)
     return F.lit(None).cast("string") if result is None else result
+
+
+def with_place(df: DataFrame, key: str, work: Workspace, name: str = "place") -> DataFrame:
+    """Add the position 0..n-1 in the order of a unique key, from range partitions and their sizes."""
+    parts = work.keep(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy(key)
+    placed = parts.join(starts, "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+    return placed.select(*df.columns, name)

@@ -14,7 +14,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.operators.rank import assign_parts, order_hash, with_rank
+from tidesift.operators.rank import assign_parts, order_hash, with_place, with_rank
+from tidesift.session import Workspace
 
 SEED = 42
 _IN, _OUT = "in", "out"
@@ -96,10 +97,13 @@ def balance_classes(
     df: DataFrame, by: str, n: int | None = None, key: str = "uid", seed: int = SEED
 ) -> DataFrame:
     """The same number of rows from every class, by default the smallest class's."""
-    counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
-    size = min(counts.values()) if n is None else n
-    part = assign_parts(df, key, seed, lambda totals: {c: [size] for c in totals}, [_IN, _OUT], by=by)
-    return df.filter(part == _IN)
+    smallest = df.groupBy(by).count().agg(F.min("count")).first()[0]
+    if smallest is None:
+        return df
+    size = smallest if n is None else n
+    if size > smallest:
+        raise ValueError(f"{size} rows asked for of every class, the smallest has {smallest}")
+    return with_rank(df, key, seed, by=[by], name="_rank").filter(F.col("_rank") <= size).drop("_rank")
 
 
 def failed_predictions(df: DataFrame, label: str = "informative", predicted: str = "predicted") -> DataFrame:
@@ -150,20 +154,18 @@ def weighted_resample(
     class and a uniform place inside it. Draw and row meet in an equi-join on
     (class, place), whose right side is unique.
     """
-    counts = {r[by]: r["count"] for r in df.filter(F.col(by).isNotNull()).groupBy(by).count().collect()}
-    classes = sorted(counts)
-    n = sum(counts.values()) if n is None else n
     spark = df.sparkSession
+    work = Workspace(spark, "resample")
+    rows = df.filter(F.col(by).isNotNull())
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
+    classes = work.keep(with_place(sizes, by, work, "_class"))
+    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("_size")).first()
+    if not n_classes:
+        return rows.select(F.lit(0).cast("long").alias("draw"), *df.columns)
     slot = F.concat_ws("|", F.lit(str(seed)), F.lit("class"), F.col("draw"))
     place = F.concat_ws("|", F.lit(str(seed)), F.lit("place"), F.col("draw"))
-    draws = spark.range(1, n + 1).withColumnRenamed("id", "draw")
-    index = (_hash_number(slot) % len(classes)).cast("int")
-    draws = draws.select(
-        "draw",
-        F.element_at(F.array(*[F.lit(c) for c in classes]), index + 1).alias(by),
-        (_hash_number(place) % F.element_at(F.array(*[F.lit(counts[c]) for c in classes]), index + 1) + 1).alias(
-            "_place"
-        ),
-    )
-    ranked = with_rank(df.filter(F.col(by).isNotNull()), key, seed, by=[by], name="_place")
+    draws = spark.range(1, (n_rows if n is None else n) + 1).withColumnRenamed("id", "draw")
+    draws = draws.withColumn("_class", _hash_number(slot) % n_classes).join(classes, "_class")
+    draws = draws.select("draw", by, (_hash_number(place) % F.col("_size") + 1).alias("_place"))
+    ranked = with_rank(rows, key, seed, by=[by], name="_place")
     return draws.join(ranked, [by, "_place"]).select("draw", *df.columns)

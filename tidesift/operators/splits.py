@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.operators.rank import MAX_LITERAL_CLASSES, assign_parts, with_rank
+from tidesift.operators.rank import assign_parts, with_rank
 from tidesift.operators.sampling import (
     SEED,
     draw_frac,
@@ -60,17 +60,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` with exact sizes and the class mix of the whole in every part.
 
-    With few classes the split is a row-local expression; a column of many
-    classes is ranked and joined with its class sizes instead.
+    Rows are ranked in their class and joined with the table of class sizes, so
+    any number of classes takes the same way. Null is a class of its own; ties
+    of remainders go to the lower class, null last.
     """
-    few = df.select(by).distinct().limit(MAX_LITERAL_CLASSES + 1).count() <= MAX_LITERAL_CLASSES
-    if few:
-        part = assign_parts(df, key, seed, lambda counts: plan_parts(counts, validation, test), PARTS, by=by)
-        return df.withColumn(name, part)
-    return _stratified_by_rank(df, by, validation, test, key, seed, name)
-
-
-def _stratified_by_rank(df, by, validation, test, key, seed, name) -> DataFrame:
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     held_out = exact(validation) + exact(test)
@@ -99,12 +92,14 @@ def _allocate_column(sizes, count: str, total: int, n: int, by: str, out: str) -
     left = n - (shared.agg(F.sum("_whole")).first()[0] or 0)
     # top-n by remainder as a bounded sort-and-limit, not a global window
     extra = (
-        shared.orderBy(F.desc("_rest"), F.col(by).cast("string")).limit(left).select(F.col(by).alias("_extra"))
+        shared.orderBy(F.desc("_rest"), F.col(by).cast("string").asc_nulls_last())
+        .limit(left)
+        .select(F.col(by).alias("_extra"), F.lit(True).alias("_more"))
     )
     return (
         shared.join(extra, F.col(by).eqNullSafe(F.col("_extra")), "left")
-        .withColumn(out, F.col("_whole") + F.col("_extra").isNotNull().cast("long"))
-        .drop("_whole", "_rest", "_extra")
+        .withColumn(out, F.col("_whole") + F.coalesce(F.col("_more"), F.lit(False)).cast("long"))
+        .drop("_whole", "_rest", "_extra", "_more")
     )
 
 

@@ -269,26 +269,22 @@ def _(spark, sf):
     return evaluate.binary_metrics(scored(spark, sf))
 
 
-SWEEP_SQL = f"""{WITH_SCORED}, t AS (SELECT 0.1::DOUBLE + unnest(range(0, 81)) * 0.01::DOUBLE AS threshold),
-n AS (SELECT threshold, count_if(informative AND probability >= threshold - 1e-9) AS tp, count_if(NOT informative AND probability >= threshold - 1e-9) AS fp,
-  count_if(informative AND probability < threshold - 1e-9) AS fn, count_if(NOT informative AND probability < threshold - 1e-9) AS tn
+# the same doubles in both engines, so that a score equal to a threshold counts as reaching it
+SWEEP_SQL = f"""{WITH_SCORED}, t AS (SELECT unnest({evaluate.thresholds()}::DOUBLE[]) AS threshold),
+n AS (SELECT threshold, count_if(informative AND probability >= threshold) AS tp, count_if(NOT informative AND probability >= threshold) AS fp,
+  count_if(informative AND probability < threshold) AS fn, count_if(NOT informative AND probability < threshold) AS tn
   FROM scored, t GROUP BY threshold), {MACRO_SQL},
 sweep AS (SELECT round(threshold, 6) AS threshold, round((f1 + f0) / 2, 6) AS macro_f1 FROM f)"""
 
 
-def _scores_off_grid(spark, sf):
-    """Scores just above their grid point, so no threshold is met by rounding alone."""
-    return scored(spark, sf).withColumn("probability", F.col("probability") + 1e-9)
-
-
 @query("J8_threshold_sweep", f"{SWEEP_SQL} SELECT threshold, macro_f1 FROM sweep")
 def _(spark, sf):
-    return evaluate.threshold_sweep(_scores_off_grid(spark, sf))
+    return evaluate.threshold_sweep(scored(spark, sf))
 
 
 @query("J8_best_threshold", f"{SWEEP_SQL} SELECT threshold, macro_f1 FROM sweep ORDER BY macro_f1 DESC, threshold LIMIT 1")
 def _(spark, sf):
-    return evaluate.best_threshold(evaluate.threshold_sweep(_scores_off_grid(spark, sf)))
+    return evaluate.best_threshold(evaluate.threshold_sweep(scored(spark, sf)))
 
 
 @query(

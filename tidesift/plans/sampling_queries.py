@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from tidesift.operators import sampling, splits
 from tidesift.plans.registry import drawn_sql, place, query, split_sql
-from tidesift.plans.views import CORPUS_SQL, SCORED_SQL, corpus, scored
+from tidesift.plans.views import CORPUS_SQL, corpus
 
 WITH_CORPUS = f"WITH {CORPUS_SQL}"
-WITH_SCORED = f"WITH {SCORED_SQL}"
 
 
 def _pools(spark, sf):
@@ -156,6 +155,17 @@ def _(spark, sf):
     return a.unionByName(b.select(F.lit("event_type").alias("by_column"), "uid", "split"))
 
 
+@query(
+    "H10_stratified_split_many",
+    f"""{WITH_CORPUS}, many AS (SELECT uid, CASE WHEN uid % 10 > 0 THEN CAST(n_chars % 400 AS VARCHAR) END AS kind FROM corpus),
+    {split_sql('many', 'kind', '0.1', '0.2', 'a')} SELECT uid, kind, split FROM a""",
+)
+def _(spark, sf):
+    kind = F.when(F.col("uid") % 10 > 0, (F.col("n_chars") % 400).cast("string"))
+    rows = corpus(spark, sf).select("uid", kind.alias("kind"))
+    return splits.stratified_split(rows, "kind", "0.1", "0.2")
+
+
 @query(
     "H11_random_split",
     f"{WITH_CORPUS}, one AS (SELECT *, 0 AS whole FROM corpus), {split_sql('one', 'whole', '0.1', '0.1', 'a')} SELECT uid, split FROM a",
@@ -197,18 +207,20 @@ def _(spark, sf):
     return sampling.balance_classes(corpus(spark, sf), "informative").select("uid", "informative")
 
 
+# A stand-in prediction that misses few informative rows and raises many others.
+GUESS_SQL = "CASE WHEN n_chars % 7 = 0 THEN 1 WHEN informative AND n_chars % 29 <> 0 THEN 1 ELSE 0 END"
+
+
 @query(
     "H14_hard_negatives",
-    f"""{WITH_SCORED}, failed AS (SELECT * FROM scored WHERE CAST(informative AS INTEGER) <> predicted
-      AND (NOT informative OR probability < 0.05)),
+    f"""{WITH_CORPUS}, failed AS (SELECT * FROM corpus WHERE CAST(informative AS INTEGER) <> {GUESS_SQL}),
     fn AS (SELECT * FROM failed WHERE informative), fp AS (SELECT * FROM failed WHERE NOT informative),
     {drawn_sql('fp', '2 * (SELECT count(*) FROM fn)', 'd')}
     SELECT uid, informative FROM fn UNION ALL SELECT uid, informative FROM d""",
 )
 def _(spark, sf):
-    rows = scored(spark, sf)
-    rare = rows.filter(~F.col("informative") | (F.col("probability") < 0.05) | (F.col("probability") >= 0.5))
-    return sampling.hard_negatives(rare, times=2).select("uid", "informative")
+    rows = corpus(spark, sf).withColumn("predicted", F.expr(GUESS_SQL))
+    return sampling.hard_negatives(rows, times=2).select("uid", "informative")
 
 
 @query(

@@ -46,9 +46,12 @@ def _(spark, sf):
     gap = F.zip_with(unit, center, lambda a, b: a - b)
     squared = vx.dot(gap, gap)
     scored = rows.select("uid", "label", cosine.alias("c"), squared.alias("d"))
-    agree = F.abs(vx.l2_to_cosine(F.col("d")) - F.col("c")) < 1e-9
-    return scored.filter(agree).select(
-        "uid", "label", F.round("c", 6).alias("cosine"), F.round("d", 6).alias("squared_distance")
+    return scored.select(
+        "uid",
+        "label",
+        F.round("c", 6).alias("cosine"),
+        F.round(vx.l2_to_cosine(F.col("d")), 6).alias("cosine_by_distance"),
+        F.round("d", 6).alias("squared_distance"),
     )
 
 
@@ -58,7 +61,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = vector_search.distinct_vectors(vectors(spark, sf))
-    index = vector_search.build_cells(rows)
+    index = vector_search.build_cells(rows, train="hash")
     return vector_search.nearest_cells(rows, index, index.nprobe).select("uid", F.col("bucket").alias("cell"))
 
 
@@ -71,12 +74,12 @@ def _(spark, sf):
 
 @query("G7_radius_pairs", sql.RADIUS_SQL)
 def _(spark, sf):
-    return vector_search.radius_pairs(vectors(spark, sf), LIMIT).select("src", "dst", F.round("score", 6).alias("score"))
+    return vector_search.radius_pairs(vectors(spark, sf), LIMIT, train="hash").select("src", "dst", F.round("score", 6).alias("score"))
 
 
 @query("G8_knn_pairs", sql.KNN_PAIRS_SQL)
 def _(spark, sf):
-    pairs = vector_search.knn_pairs(vectors(spark, sf), 5, LIMIT)
+    pairs = vector_search.knn_pairs(vectors(spark, sf), 5, LIMIT, train="hash")
     return pairs.select("src", "dst", F.round("score", 6).alias("score"))
 
 
@@ -110,17 +113,17 @@ def _(spark, sf):
 
 @query("G10_near_dedup_radius", sql.RADIUS_DEDUP_SQL)
 def _(spark, sf):
-    return neardup.near_dedup(vectors(spark, sf), "radius", threshold=LIMIT).select("uid")
+    return neardup.near_dedup(vectors(spark, sf), "radius", threshold=LIMIT, train="hash").select("uid")
 
 
 @query("G10_near_dedup_knearest", sql.KNN_DEDUP_SQL)
 def _(spark, sf):
-    return neardup.near_dedup(vectors(spark, sf), "knearest", threshold=LIMIT, top_k=5).select("uid")
+    return neardup.near_dedup(vectors(spark, sf), "knearest", threshold=LIMIT, top_k=5, train="hash").select("uid")
 
 
 @query("G11_threshold_sweep_survivors", sql.SWEEP_SQL)
 def _(spark, sf):
-    return vector_search.threshold_sweep_survivors(vectors(spark, sf), sql.SWEEP_LEVELS, top_k=5)
+    return vector_search.threshold_sweep_survivors(vectors(spark, sf), sql.SWEEP_LEVELS, top_k=5, train="hash")
 
 
 @query("G12_search_nearest", sql.SEARCH_K_SQL)

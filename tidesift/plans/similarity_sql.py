@@ -116,5 +116,5 @@ SEARCH_K_SQL = f"""WITH {CENTROID_SQL} SELECT query, uid, round(score, 6) AS sco
 SEARCH_RADIUS_SQL = f"WITH {CENTROID_SQL} SELECT query, uid, round(score, 6) AS score FROM scores WHERE score > 0.3"
 
 COSINE_SQL = f"""WITH {CENTROID_SQL}
-SELECT uid, label, round(score, 6) AS cosine, round(2 - 2 * score, 6) AS squared_distance
+SELECT uid, label, round(score, 6) AS cosine, round(score, 6) AS cosine_by_distance, round(2 - 2 * score, 6) AS squared_distance
 FROM scores JOIN unit USING (uid) WHERE CAST(label AS BIGINT) = query"""

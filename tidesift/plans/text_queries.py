@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidesift.functions import fixed_values as fixed
 from tidesift.functions import text as tx
 from tidesift.operators import clean, dedup, labels, sets, splits
+from tidesift.operators.greedy import Unfinished
 from tidesift.operators.neardup import near_dedup_minhash
 from tidesift.operators.profile import token_length_profile
-from tidesift.operators.vector_search import embed_text
+from tidesift.operators.vector_search import embed_text, near_dedup_radius
 from tidesift.plans.registry import place, query, split_sql
-from tidesift.plans.similarity_sql import MINHASH_DEDUP_SQL
+from tidesift.plans.similarity_sql import MINHASH_DEDUP_SQL, RADIUS_DEDUP_SQL
 from tidesift.plans.views import CORPUS_SQL, corpus, scratch, table, texts, vectors
 from tidesift.sources import delimited, stored
 
@@ -53,7 +57,7 @@ def _(spark, sf):
     path = scratch(spark, "csv")
     delimited.write_csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path)
     return delimited.read_table(
-        spark, path, rename={"doc_id": "uid", "text": "tweet_text", "lang": "lang"}, types={"uid": "long"}
+        spark, path, rename={"doc_id": "uid", "text": "tweet_text", "lang": "lang"}, types={"uid": "long"}, multi_line=True
     )
 
 
@@ -67,13 +71,21 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     options = {"header": True, "quoteAll": True, "escape": '"'}
     blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    docs.write.partitionBy("source").options(**options, **blanks).csv(root)
+    # three files per event: other orders, a misspelt name, a further column
+    shapes = [
+        docs.select("doc_id", "text", "source"),
+        docs.select("text", "doc_id", "source"),
+        docs.select(F.col("doc_id").alias(" doc_id"), F.lit("x").alias("more"), F.col("text").alias("txt "), "source"),
+    ]
+    for i, shape in enumerate(shapes):
+        third = shape.filter(F.col("doc_id" if i < 2 else "` doc_id`") % 3 == i)
+        third.write.mode("append").partitionBy("source").options(**options, **blanks).csv(root)
     known = docs.select("source").distinct().filter(F.substring("source", 4, 10).cast("int") < 15)
     events = known.select(
         F.concat(F.lit("source="), "source").alias("event_key"),
         F.concat(F.lit("event "), F.substring("source", 4, 10)).alias("event_name"),
     )
-    rows = delimited.read_event_files(spark, root, "*.csv", events)
+    rows = delimited.read_event_files(spark, root, "*.csv", events, variants={"txt": "text"}, multi_line=True)
     return rows.select(F.col("doc_id").cast("long").alias("uid"), F.col("text").alias("tweet_text"), "event_name")
 
 
@@ -101,7 +113,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark, "csv")
     delimited.write_csv(table(spark, sf, "conversations"), path, quote="nonnumeric")
-    return delimited.read_table(spark, path, types={"conv_id": "long", "turn": "long"})
+    return delimited.read_table(spark, path, types={"conv_id": "long", "turn": "long"}, multi_line=True)
 
 
 @query(
@@ -118,24 +130,45 @@ def _(spark, sf):
     return part.select("uid", "informative", F.col("split").cast("string").alias("split"))
 
 
-@query("A7_export_views", f"{WITH_CORPUS} SELECT uid, humanitarian_label FROM corpus WHERE humanitarian_label IS NOT NULL")
+@query(
+    "A7_export_views",
+    f"""{WITH_CORPUS} SELECT 'full' AS view, uid, tweet_text, informative, humanitarian_label FROM corpus
+    UNION ALL SELECT 'informative', uid, tweet_text, informative, NULL FROM corpus
+    UNION ALL SELECT 'humanitarian', uid, NULL, NULL, humanitarian_label FROM corpus WHERE humanitarian_label IS NOT NULL""",
+)
 def _(spark, sf):
     root = scratch(spark, "views")
-    stored.export_views(
-        corpus(spark, sf),
-        {
-            f"{root}/full": (["uid", "tweet_text", "informative", "humanitarian_label"], None),
-            f"{root}/informative": (["uid", "tweet_text", "informative"], None),
-            f"{root}/humanitarian": (["uid", "humanitarian_label"], F.col("humanitarian_label").isNotNull()),
-        },
-    )
-    return spark.read.schema("uid long, humanitarian_label string").parquet(f"{root}/humanitarian")
+    views = {
+        "full": (["uid", "tweet_text", "informative", "humanitarian_label"], None),
+        "informative": (["uid", "tweet_text", "informative"], None),
+        "humanitarian": (["uid", "humanitarian_label"], F.col("humanitarian_label").isNotNull()),
+    }
+    stored.export_views(corpus(spark, sf), {f"{root}/{name}": view for name, view in views.items()})
+    read = [spark.read.parquet(f"{root}/{name}").withColumn("view", F.lit(name)) for name in views]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
+def _resumed(run) -> DataFrame:
+    """Stop ``run`` after its first turn, then go on with it."""
+    try:
+        run(stop_after=1)
+    except Unfinished:
+        pass
+    return run()
 
 
 @query("A8_resumable_dedup", MINHASH_DEDUP_SQL)
 def _(spark, sf):
-    texts = corpus(spark, sf).select("uid", "tweet_text")
-    return near_dedup_minhash(texts, resume=scratch(spark, "turns")).select("uid")
+    texts, folder = corpus(spark, sf).select("uid", "tweet_text"), scratch(spark, "turns")
+    return _resumed(lambda **stop: near_dedup_minhash(texts, resume=folder, first_block=1, **stop)).select("uid")
+
+
+@query("A8_resumable_dedup_radius", RADIUS_DEDUP_SQL)
+def _(spark, sf):
+    rows, folder = vectors(spark, sf), scratch(spark, "turns")
+    return _resumed(
+        lambda **stop: near_dedup_radius(rows, 0.35, train="hash", resume=folder, first_block=8, **stop)
+    ).select("uid")
 
 
 @query(

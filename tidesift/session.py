@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,8 @@ def build_session(app_name: str = "tidesift", master: str | None = None, **conf)
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # label files come in old code pages, too
+        "spark.sql.legacy.javaCharsets": "true",
         **{key: str(value) for key, value in conf.items()},
     }
     for key, value in settings.items():
@@ -44,7 +47,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, folder)

@@ -245,7 +245,7 @@ RECIPES = {
             where=lambda df: clean.only_language(df, "en", "tweet_language"), dedup_text=False,
         ),
         Recipe(
-            "disasters_on_social_media", "socialmedia-disaster-tweets-DFE.csv", None, "text", "choose_one",
+            "disasters_on_social_media", "socialmedia-*-DFE.csv", None, "text", "choose_one",
             _is("Relevant"), read={"encoding": "latin1"}, constants={"event_type": "disaster"},
             where=lambda df: clean.drop_golden(df, strict=False),
         ),
@@ -283,9 +283,10 @@ def event_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, recipe: Recipe, root: str) -> DataFrame:
+    options = {"multi_line": True, **recipe.read}  # posts may hold line breaks
     if recipe.events:
-        return read_event_files(spark, root, recipe.pattern, event_table(spark, recipe.events), **recipe.read)
-    rows = read_table(spark, root, pattern=recipe.pattern, recursive=True, file_column="_file", **recipe.read)
+        return read_event_files(spark, root, recipe.pattern, event_table(spark, recipe.events), **options)
+    rows = read_table(spark, root, pattern=recipe.pattern, recursive=True, file_column="_file", **options)
     return rows.withColumn("file_name", F.regexp_extract("_file", r"([^/]+)$", 1))
 
 
@@ -323,7 +324,7 @@ def read_corpus(spark: SparkSession, dataset: str, root: str) -> DataFrame:
 
 def read_multimodal(spark: SparkSession, root: str) -> DataFrame:
     """The corpus with two label tasks on the same tweets."""
-    rows = read_table(spark, root, sep="\t", pattern="*.tsv", recursive=True, file_column="_file")
+    rows = read_table(spark, root, sep="\t", pattern="*.tsv", recursive=True, file_column="_file", multi_line=True)
     rows = rows.withColumn("file_name", F.regexp_extract("_file", r"([^/]+)$", 1))
     tagged = labels.lookup_event(
         rows.withColumn("event_key", F.col("event_name")).drop("event_name"),
@@ -374,7 +375,7 @@ def read_eyewitness(spark: SparkSession, authors_root: str, crowd_root: str) ->
             if not has_files(spark, root, pattern):
                 continue
             one = read_table(
-                spark, root, sep="\t", pattern=pattern, recursive=True, file_column="_file",
+                spark, root, sep="\t", pattern=pattern, recursive=True, file_column="_file", multi_line=True,
                 variants={"lable": "label", "Lable": "label"},
             )
             rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
@@ -415,8 +416,8 @@ def read_combined(
     """
 
     def task(paths: tuple[str, str], keep_quotes: bool) -> DataFrame:
-        filtered = read_table(spark, paths[0], sep="\t", quoting=not keep_quotes)
-        mapped = read_table(spark, paths[1], sep="\t")
+        filtered = read_table(spark, paths[0], sep="\t", quoting=not keep_quotes, multi_line=not keep_quotes)
+        mapped = read_table(spark, paths[1], sep="\t", multi_line=True)
         return append_missing(mapped, filtered, "id")
 
     inf = task(informative, keep_quotes=True)

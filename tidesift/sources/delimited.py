@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +18,6 @@ NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-_PLAIN_CHARSETS = {"utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 _ALIASES = {"latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "utf_8": "UTF-8", "utf8": "UTF-8", "cp437": "IBM437"}
 _MISSING, _EXTRA = "\u0001", "_extra_field"
 
@@ -49,17 +51,19 @@ def read_table(
 ) -> DataFrame:
     """Read delimited text with every column declared as text, then cast.
 
-    ``columns`` names the fields of files without header; otherwise the header
-    line of the first file gives the names. A line with more fields than names
-    is bad: dropped (``skip``), or the job stops (``error``). A short line is
-    filled with nulls. ``rename`` also selects.
+    ``columns`` names the fields of files without header. Otherwise every file is
+    read by its own header line: files are grouped by header, each group gets
+    its names (blanks cut, ``variants`` fixed), and the groups are united by
+    name, columns a file lacks being null. A line with more fields than its
+    file's header is bad: dropped (``skip``), or the job stops (``error``). A
+    short line is filled with nulls. ``rename`` also selects.
 
     ``multi_line`` lets quoted fields hold line breaks; such files are read by
-    one task each. Turn it off for large files whose records are single lines.
+    one task each, so it is off unless a source needs it. Charsets beyond
+    Spark's own need ``spark.sql.legacy.javaCharsets`` in the session, as
+    ``build_session`` sets it.
     """
     charset = _ALIASES.get(encoding.lower(), encoding)
-    if charset.lower() not in _PLAIN_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     paths = [path] if isinstance(path, str) else list(path)
     options = {
         "sep": sep,
@@ -68,30 +72,36 @@ def read_table(
         "escape": '"' if quoting else "\\",
         "nullValue": _MISSING,
         "emptyValue": "",
-        "multiLine": str(quoting if multi_line is None else multi_line).lower(),
-        "recursiveFileLookup": str(recursive).lower(),
+        "multiLine": str(bool(multi_line)).lower(),
         "mode": "PERMISSIVE",
     }
-    if pattern:
-        options["pathGlobFilter"] = pattern
-    reader = spark.read.options(**options)
-    has_header = columns is None
-    if has_header:
-        names = clean_names(reader.option("header", True).csv(paths).columns, variants)
-    else:
-        names = list(columns)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-    df = reader.schema(schema).option("header", has_header).csv(paths)
-    if file_column:
-        df = df.withColumn(file_column, F.url_decode(F.col("_metadata.file_path")))
-    if bad_lines == "skip":
-        df = df.filter(F.col(_EXTRA).isNull())
-    elif bad_lines == "error":
-        stop = F.raise_error(F.lit("a line has more fields than the header"))
-        df = df.withColumn(names[0], F.when(F.col(_EXTRA).isNull(), F.col(names[0])).otherwise(stop.cast("string")))
+    if columns is None:
+        groups = _by_header(spark, list_files(spark, paths, pattern, recursive), charset, sep, quoting, variants)
+        options["recursiveFileLookup"] = "true"  # folder names are no columns
     else:
+        groups = {tuple(columns): paths}
+        options["recursiveFileLookup"] = str(recursive).lower()
+        if pattern:
+            options["pathGlobFilter"] = pattern
+    if bad_lines not in ("skip", "error"):
         raise ValueError("bad_lines must be 'skip' or 'error'")
-    df = df.drop(_EXTRA)
+
+    def read(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+        one = spark.read.options(**options).schema(schema).option("header", columns is None).csv(files)
+        if file_column:
+            one = one.withColumn(file_column, F.url_decode(F.col("_metadata.file_path")))
+        if bad_lines == "skip":
+            one = one.filter(F.col(_EXTRA).isNull())
+        else:
+            stop = F.raise_error(F.lit("a line has more fields than the header")).cast("string")
+            first = F.col(f"`{names[0]}`")
+            one = one.withColumn(names[0], F.when(F.col(_EXTRA).isNull(), first).otherwise(stop))
+        return one.drop(_EXTRA)
+
+    parts = [read(names, files) for names, files in groups.items()]
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    names = [c for c in df.columns if c != file_column]
     missing = F.array(*[F.lit(v) for v in NA_VALUES])
     df = df.withColumns({n: F.when(~F.array_contains(missing, F.col(f"`{n}`")), F.col(f"`{n}`")) for n in names})
     if rename:
@@ -102,12 +112,56 @@ def read_table(
     return df if frac is None else sample_rows(df, frac, seed)
 
 
+def list_files(spark: SparkSession, paths: Sequence[str], pattern: str | None, recursive: bool) -> list[str]:
+    """Files below the paths, sorted; names only, no content."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if pattern:
+        listed = listed.option("pathGlobFilter", pattern)
+    return sorted(r[0] for r in listed.load(list(paths)).select("path").collect())
+
+
+def _by_header(
+    spark: SparkSession,
+    files: Sequence[str],
+    charset: str,
+    sep: str,
+    quoting: bool,
+    variants: Mapping[str, str] | None,
+) -> dict[tuple[str, ...], list[str]]:
+    """{names: files with this header}; the driver reads the first line of each file."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        target = jvm.org.apache.hadoop.fs.Path(file)
+        stream = target.getFileSystem(conf).open(target)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, charset))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is None:
+            continue  # an empty file has no rows
+        quotes = {"quotechar": '"'} if quoting else {"quoting": csv.QUOTE_NONE}
+        found = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, **quotes))
+        groups.setdefault(tuple(clean_names(found, variants)), []).append(file)
+    if not groups:
+        raise FileNotFoundError("no file with a header line")
+    return groups
+
+
 def has_files(spark: SparkSession, root: str, pattern: str) -> bool:
     """Whether any file below ``root`` matches; lists names only."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     return not listed.load(root).select("path").isEmpty()
 
 
+def has_path(spark: SparkSession, path: str) -> bool:
+    """Whether this very path exists."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def sample_rows(df: DataFrame, frac, seed: int = SEED) -> DataFrame:
     """An exact-size sample of rows without a key.
 
@@ -153,10 +207,29 @@ def read_event_files(
 
 
 def write_csv(df: DataFrame, path: str, quote: str = "all", mode: str = "errorifexists") -> None:
-    """CSV with a header. Spark knows no "quote non-numeric"; both modes quote every field."""
-    if quote not in ("all", "nonnumeric"):
+    """CSV with a header in every file: ``all`` fields quoted, or all but numbers (``nonnumeric``).
+
+    A missing value is an empty quoted field.
+    """
+    if quote == "all":
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode(mode).options(header=True, quoteAll=True, escape='"', **blanks).csv(path)
+        return
+    if quote != "nonnumeric":
         raise ValueError("quote must be 'all' or 'nonnumeric'")
-    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.mode(mode).options(header=True, quoteAll=True, escape='"', **blanks).csv(path)
 
+    def field(name: str, kind: T.DataType) -> Column:
+        value = F.col(f"`{name}`").cast("string")
+        if not isinstance(kind, (T.NumericType, T.BooleanType)):
+            value = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(value, F.lit('""'))
+
+    header = ",".join('"' + name.replace('"', '""') + '"' for name in df.columns)
+    line = F.concat_ws(",", *[field(f.name, f.dataType) for f in df.schema.fields])
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
+    df.select(line.alias("value")).mapInArrow(headed, "value string").write.mode(mode).text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from tidesift.operators import clean
 from tidesift.operators.dedup import dedup
 from tidesift.operators.sets import union_by_name
 from tidesift.schema import POOL_TEXT
-from tidesift.sources.delimited import has_files, read_table
+from tidesift.sources.delimited import has_path, read_table
 
 
 @dataclass(frozen=True)
@@ -29,18 +29,20 @@ class PoolSource:
     edit: Callable[[DataFrame], DataFrame] = lambda df: df
 
 
+# Handles masked in one source, and the headers of two files without any.
+_COMPANIES = ["microsoft", "google", "twitter", "apple"]
+_CIKM = ["UserID", "TweetID", "Tweet", "CreatedAt"]
+_SENTIMENT = ["target", "id", "date", "flag", "user", "text"]
+
+
 def _mask_companies(df: DataFrame) -> DataFrame:
-    names = ["microsoft", "google", "twitter", "apple"]
-    return df.withColumn("tweet_text", clean.mask_names(F.col("tweet_text"), names))
+    return df.withColumn("tweet_text", clean.mask_names(F.col("tweet_text"), _COMPANIES))
 
 
 def _mask_author(df: DataFrame) -> DataFrame:
     return df.withColumn("tweet_text", clean.mask_author(F.col("tweet_text"), F.col("author_id"))).drop("author_id")
 
 
-_CIKM = ["UserID", "TweetID", "Tweet", "CreatedAt"]
-_SENTIMENT = ["target", "id", "date", "flag", "user", "text"]
-
 # The public pools, their files, text columns and parsing options.
 SOURCES = [
     PoolSource("Sanders Analytics Sentiment-labelled tweets", "full-corpus.csv", "TweetText", edit=_mask_companies),
@@ -73,6 +75,7 @@ def read_pool_source(spark: SparkSession, root: str, source: PoolSource) -> Data
         encoding=source.encoding,
         rename=rename,
         frac=source.frac,
+        multi_line=True,
     )
     return clean.with_constants(source.edit(rows), {"dataset": source.dataset}).select("tweet_text", "dataset")
 
@@ -86,12 +89,21 @@ def build_pool(sources: Sequence[DataFrame], subset: str, offset: int, words: in
     return clean.to_canonical(clean.tag_subset(numbered, subset, noise=True), {}, POOL_TEXT)
 
 
-def read_noise_pools(spark: SparkSession, root: str, offset: int) -> tuple[DataFrame, DataFrame]:
-    """(weather, out_topic) from the sources present below ``root``; the uids of
-    out_topic continue after those of weather."""
+def read_noise_pools(
+    spark: SparkSession, root: str, offset: int, absent: Collection[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(weather, out_topic) from the sources below ``root``; the uids of
+    out_topic continue after those of weather. ``absent`` names the files that
+    may be missing; any other missing file is an error."""
     parts: dict[str, list[DataFrame]] = {"weather": [], "out_topic": []}
+    missing = []
     for source in SOURCES:
-        if has_files(spark, root, source.file.rsplit("/", 1)[-1]):
+        if has_path(spark, f"{root}/{source.dataset}/{source.file}"):
             parts[source.pool].append(read_pool_source(spark, root, source))
+        elif source.file not in absent:
+            missing.append(f"{source.dataset}/{source.file}")
+    empty = [pool for pool, found in parts.items() if not found]
+    if missing or empty:
+        raise FileNotFoundError(f"missing below {root}: {', '.join(missing) or 'all sources of ' + ', '.join(empty)}")
     weather = build_pool(parts["weather"], "weather", offset)
     return weather, build_pool(parts["out_topic"], "out_topic", offset + weather.count())
