@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,12 +163,18 @@ def test_cascade_falls_back_to_stage_1(spark):
     assert got == {1: (1, 0.9, 0, 0.6, 0), 2: (0, 0.9, None, None, 0)}
 
 
-def test_exact_quantiles_by_narrowing(spark, monkeypatch):
-    df = spark.range(5000).select((F.pow(F.col("id") % 701, F.lit(2)) / 7).alias("v"))
-    probabilities = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
-    whole = profile.quantiles(df, "v", probabilities)
-    monkeypatch.setattr(profile, "EXACT_PERCENTILE_ROWS", 100)
-    assert profile.quantiles(df, "v", probabilities) == pytest.approx(whole, abs=1e-9)
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 9, 500)] + [("b", float(x)) for x in rng.normal(size=301)]
+    rows += [("c", 4.0), ("d", None), (None, 1.0)]
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame(rows, "grp string, v double").repartition(5)
+    got = {r["grp"]: list(r["q"]) for r in profile.grouped_quantiles(df, probabilities).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for name in got:
+        values = [v for g, v in rows if g == name]
+        assert got[name] == pytest.approx(np.quantile(values, probabilities).tolist())
+    assert profile.quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
 def test_stream_of_files(spark, tmp_path):

@@ -11,9 +11,7 @@ from pyspark.sql.window import Window
 
 from tidesift.functions import text as tx
 from tidesift.operators.sampling import SEED, sample_frac
-
-# Up to this many rows one aggregate may hold all distinct values of a column.
-EXACT_PERCENTILE_ROWS = 1_000_000
+from tidesift.session import Workspace
 
 
 def group_size(df: DataFrame, keys: Sequence[str], where=None) -> DataFrame:
@@ -74,71 +72,64 @@ def order_limit(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], fanout: int = 64) -> dict[int, float]:
-    """Exact values at zero-based ranks of a numeric column, for any row count.
+def grouped_quantiles(cells: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(grp, q): exact quantiles of v per group for rows (grp, v), interpolated between neighbours.
 
-    Each pass cuts the value range at approximate quantiles, counts the pieces
-    exactly and follows only the piece a rank lies in, until it is small.
+    Values are counted first. The counts are range-partitioned by (grp, v), and
+    totals of the ranges give every value its ranks, so neither a large group
+    nor many groups meet in one task. One way for any number of rows.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    out: dict[int, float] = {}
-    todo = [(values, {rank: rank for rank in set(ranks)})]
-    while todo:
-        part, wanted = todo.pop()
-        info = part.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        if info["n"] == 0:
-            continue
-        if info["lo"] == info["hi"]:
-            out.update({rank: info["lo"] for rank in wanted})
-            continue
-        if info["n"] <= EXACT_PERCENTILE_ROWS:
-            # the middle of a rank's own step of the cumulative share: no rounding can miss it
-            shares = ", ".join(repr((place + 0.5) / info["n"]) for place in wanted.values())
-            found = part.agg(F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY v)").alias("p")).first()["p"]
-            out.update(dict(zip(wanted, found)))
-            continue
-        steps = [i / fanout for i in range(1, fanout)]
-        cuts = sorted(set(part.agg(F.percentile_approx("v", steps, 10_000).alias("p")).first()["p"]))
-        piece = F.size(F.filter(F.lit(cuts), lambda c: F.col("v") > c))
-        counted = {r["k"]: r["n"] for r in part.groupBy(piece.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        seen = 0
-        for k in sorted(counted):
-            inside = {rank: p - seen for rank, p in wanted.items() if seen <= p < seen + counted[k]}
-            if inside:
-                low = F.col("v") > cuts[k - 1] if k > 0 else F.lit(True)
-                high = F.col("v") <= cuts[k] if k < len(cuts) else F.lit(True)
-                todo.append((part.filter(low & high), inside))
-            seen += counted[k]
-    return out
+    work = Workspace(cells.sparkSession, "quantiles")
+    counted = cells.select("grp", F.col("v").cast("double").alias("v")).filter("grp IS NOT NULL AND v IS NOT NULL")
+    counted = counted.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("grp", "v")
+    counted = work.keep(counted.withColumn("part", F.spark_partition_id()))
+
+    earlier = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("grp", "part").agg(F.sum("n").alias("size"))
+    starts = parts.select(
+        "grp",
+        "part",
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
+        F.sum("size").over(Window.partitionBy("grp")).alias("total"),
+    )
+    inside = Window.partitionBy("grp", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    first = (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")
+    placed = counted.join(starts, ["grp", "part"]).select("grp", "v", "n", "total", first)
+
+    place = F.col("p") * (F.col("total") - 1)
+    low = F.floor(place)
+    high = F.least(low + 1, F.col("total") - 1)
+    at = placed.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("i", "p"))
+
+    def value(rank: Column) -> Column:
+        here = (rank >= F.col("first")) & (rank < F.col("first") + F.col("n"))
+        return F.max(F.when(here, F.col("v")))
+
+    ends = at.groupBy("grp", "i").agg(
+        value(low).alias("lo"), value(high).alias("hi"), F.max(low + 1 - place).alias("a"), F.max(place - low).alias("b")
+    )
+    mixed = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") * F.col("a") + F.col("hi") * F.col("b"))
+    ordered = ends.select("grp", "i", mixed.alias("q")).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("q"))
+    return ordered.select("grp", F.transform("q", lambda x: x["q"]).alias("q"))
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbours."""
-    n = df.filter(F.col(column).isNotNull()).count()
-    if n == 0:
-        return [None for _ in probabilities]
-    if n <= EXACT_PERCENTILE_ROWS:
-        return list(df.agg(F.percentile(column, list(probabilities)).alias("p")).first()["p"])
-    places = [p * (n - 1) for p in probabilities]
-    ranks = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
-    at = order_statistics(df, column, ranks)
-    result = []
-    for p in places:
-        low, high = at[int(p)], at[min(int(p) + 1, n - 1)]
-        result.append(low + (high - low) * (p - int(p)))
-    return result
+    found = grouped_quantiles(df.select(F.lit(0).alias("grp"), F.col(column).alias("v")), probabilities).first()
+    return [None for _ in probabilities] if found is None else list(found["q"])
+
+
+FIVE = ("minimum", "q1", "median", "q3", "maximum")
+
+
+def _five(cells: DataFrame, name: str) -> DataFrame:
+    found = grouped_quantiles(cells, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.select(F.col("grp").alias(name), *[F.col("q")[i].alias(n) for i, n in enumerate(FIVE)])
 
 
 def five_numbers(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Minimum, quartiles and maximum per class (classes are few)."""
-    spark = df.sparkSession
-    classes = [r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().collect()]
-    rows = [(c, *quantiles(df.filter(F.col(by) == c), column, [0.0, 0.25, 0.5, 0.75, 1.0])) for c in classes]
-    names = ["minimum", "q1", "median", "q3", "maximum"]
-    schema = T.StructType(
-        [T.StructField(by, df.schema[by].dataType)] + [T.StructField(n, T.DoubleType()) for n in names]
-    )
-    return spark.createDataFrame(rows, schema)
+    """Minimum, quartiles and maximum per class, all classes in one pass."""
+    return _five(df.select(F.col(by).alias("grp"), F.col(column).alias("v")), by)
 
 
 def histogram(df: DataFrame, column: str, by: str, bins: int = 20) -> DataFrame:
@@ -196,26 +187,19 @@ def profile(df: DataFrame) -> DataFrame:
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
         F.max("n").alias("freq"),
     )
-    spark = df.sparkSession
-    stats = {}
+    kinds = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
+    base = df.sparkSession.range(1).select(F.explode(kinds).alias("column", "dtype"))
     if numeric:
-        row = df.agg(
-            *[
-                agg(c).cast("double").alias(f"{name}_{c}")
-                for c in numeric
-                for name, agg in (("mean", F.avg), ("std", F.stddev_samp))
-            ]
-        ).first()
-        for c in numeric:
-            stats[c] = [row[f"mean_{c}"], row[f"std_{c}"], *quantiles(df, c, [0.0, 0.25, 0.5, 0.75, 1.0])]
-    names = ["mean", "std", "minimum", "q1", "median", "q3", "maximum"]
-    base = spark.createDataFrame(
-        [(f.name, f.dataType.simpleString(), *stats.get(f.name, [None] * 7)) for f in df.schema],
-        T.StructType(
-            [T.StructField("column", T.StringType()), T.StructField("dtype", T.StringType())]
-            + [T.StructField(n, T.DoubleType()) for n in names]
-        ),
-    )
+        numbers = df.select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("grp"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("cell")
+        ).select("cell.*")
+        moments = numbers.groupBy(F.col("grp").alias("column")).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+        stats = moments.join(_five(numbers, "column"), "column", "left")
+    else:
+        none = [F.lit(None).cast("double").alias(n) for n in ("mean", "std", *FIVE)]
+        stats = base.limit(0).select("column", *none)
+    names = ["mean", "std", *FIVE]
+    base = base.join(stats, "column", "left")
     joined = base.join(described, "column", "left")
     zero = F.lit(0).cast("long")
     return joined.select(
