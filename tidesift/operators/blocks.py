@@ -95,11 +95,16 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return ordered[first]
 
 
-def count_products(a: CountBlock, b: CountBlock, binary: bool) -> np.ndarray:
-    """Exact products of all row pairs of two blocks.
+def count_products(
+    a: CountBlock, b: CountBlock, binary: bool, possible: Callable[[np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Products of all row pairs of two blocks, and for which pairs they are exact.
 
     Frequent grams go through one dense matrix product, the others through
-    their short lists of rows.
+    their short lists of rows. ``possible`` tells from an upper bound of the
+    products which pairs matter; the rare grams of rows without such a pair are
+    left out. The bound adds what the rare grams of both rows can give at most:
+    the product of their lengths, or the smaller number of them.
     """
     na, nb = len(a.uid), len(b.uid)
     small, large = sorted((_distinct(a.gram), _distinct(b.gram)), key=len)
@@ -135,6 +140,18 @@ def count_products(a: CountBlock, b: CountBlock, binary: bool) -> np.ndarray:
 
     rare = ~frequent[ga]
     ga, ra, va = ga[rare], ra[rare], va[rare]
+    exact = np.ones((na, nb), dtype=bool)
+    if possible is not None:
+        rare = ~frequent[gb]
+        gb, rb, vb = gb[rare], rb[rare], vb[rare]
+        left, right = np.bincount(ra, va * va, na), np.bincount(rb, vb * vb, nb)
+        rest = np.minimum(left[:, None], right[None, :]) if binary else np.sqrt(left[:, None] * right[None, :])
+        exact = possible(out + rest * (1 + 1e-12) + 1e-9)
+        wanted = exact.any(axis=1)[ra]
+        ga, ra, va = ga[wanted], ra[wanted], va[wanted]
+        wanted = exact.any(axis=0)[rb]
+        gb, rb, vb = gb[wanted], rb[wanted], vb[wanted]
+        fb = np.bincount(gb, minlength=len(vocabulary))
     first_b = np.concatenate([[0], np.cumsum(fb)])
     times = fb[ga]
     ends = np.cumsum(times)
@@ -149,4 +166,4 @@ def count_products(a: CountBlock, b: CountBlock, binary: bool) -> np.ndarray:
         flat = ra[which] * nb + rb[other]
         out += np.bincount(flat, va[which] * vb[other], na * nb).reshape(na, nb)
         begin = stop
-    return out
+    return out, exact
