@@ -26,7 +26,7 @@ from tidesift.llm.common import BLANKS, ascii_lower, id_of, once, text_of
 from tidesift.session import Workspace
 
 SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+NO_SYMBOLS = "[^#*$%&|<>]+"
 _ID, _HOST, _TXT = "_q_id", "_q_host", "_q_txt"
 
 
@@ -62,7 +62,7 @@ def _in_repeats(windows: Column) -> Column:
     repeated windows at places p < q cover min(3, q - p) words from p on.
     """
     n = F.size(windows)
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     nothing = F.expr("array(named_struct('h', CAST(NULL AS BIGINT), 'i', CAST(NULL AS INT)))")
     around = F.zip_with(
         F.concat(nothing, F.slice(placed, 1, n - 1)),
@@ -72,7 +72,7 @@ def _in_repeats(windows: Column) -> Column:
     hits = F.zip_with(
         placed, around, lambda x, y: F.when((x["h"] == y["p"]) | (x["h"] == y["q"]), x["i"])
     )
-    places = F.array_sort(F.array_compact(hits))
+    places = F.sort_array(F.array_compact(hits))
     widths = F.zip_with(
         places, F.slice(places, 2, n), lambda p, q: F.coalesce(F.least(q - p, F.lit(3)), F.lit(3))
     )
@@ -98,8 +98,8 @@ def base_signals(docs: DataFrame, id_column: str, text_column: str, host_column:
         _HOST,
         F.xxhash64(text).alias(_TXT),
         n_words.alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(text, NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         _in_repeats(F.col("_q_win")).alias("n_repeat_words"),
     )
