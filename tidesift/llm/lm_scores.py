@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -141,23 +142,34 @@ def gather_counts(counts: DataFrame, ends: int) -> Counts:
     return found
 
 
+class _Known(dict):
+    """Word -> (unit, base, within, 1, 0) or, outside the head, (unit, 0, 0, 0, within if unseen)."""
+
+    def __init__(self, counts: Counts):
+        super().__init__()
+        self.counts = counts
+
+    def trim(self) -> None:
+        if len(self) >= CACHED:
+            self.clear()
+
+    def __missing__(self, word: bytes) -> tuple:
+        counts = self.counts
+        n = counts.head.get(word, 0)
+        if n:
+            found = (counts.unit(word), counts.base(n), counts.within(word, n), 1, 0.0)
+        else:
+            found = (counts.unit(word), 0.0, 0.0, 0, counts.within(word, 0))
+        self[word] = found
+        return found
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Units of every text, sums over its head words, and its other words."""
     counts: Counts = shared.value
     part, row = TaskContext.get().partitionId() << 40, 0
-    # word -> (unit, base, within) or, outside the head, (unit, within if unseen)
-    known: dict[bytes, tuple] = {}
-
-    def look(word: bytes) -> tuple:
-        found = known.get(word)
-        if found is None:
-            n = counts.head.get(word, 0)
-            found = (counts.unit(word), counts.base(n), counts.within(word, n)) if n else (counts.unit(word), counts.within(word, 0))
-            if len(known) >= CACHED:
-                known.clear()
-            known[word] = found
-        return found
-
+    known = _Known(counts)
+    unit, base, within, is_head = (itemgetter(i) for i in range(4))
     end_base = counts.base(counts.ends)
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
@@ -165,15 +177,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             out: dict[str, list] = {k: [] for k in ("rid", "n_tokens", "units", "base", "within", "known", "rest")}
             for text in piece.column(2):
                 words = words_of(text.as_py())
-                seen = list(map(look, words))
+                known.trim()
+                seen = list(map(known.__getitem__, words))
                 out["rid"].append(part | row)
                 out["n_tokens"].append(len(words) + 1)
-                out["units"].append(bytes([s[0] for s in seen]) + bytes([END_UNIT]))
-                head = [s for s in seen if len(s) == 3]
-                out["base"].append(sum([s[1] for s in head]) + end_base)
-                out["within"].append(sum([s[2] for s in head]))
-                out["known"].append(len(head) + (counts.ends > 0))
-                out["rest"].append([(w, s[1]) for w, s in zip(words, seen, strict=True) if len(s) == 2])
+                out["units"].append(bytes(map(unit, seen)) + bytes([END_UNIT]))
+                out["base"].append(sum(map(base, seen)) + end_base)
+                out["within"].append(sum(map(within, seen)))
+                heads = sum(map(is_head, seen))
+                out["known"].append(heads + (counts.ends > 0))
+                rest = heads < len(words)
+                out["rest"].append([(w, s[4]) for w, s in zip(words, seen, strict=True) if not s[3]] if rest else [])
                 row += 1
             other = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float64())]))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), other]
