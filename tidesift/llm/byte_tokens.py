@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from struct import pack
 
 from tidesift.llm.common import per_process
 
@@ -41,13 +42,18 @@ class _Pieces(dict):
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
+        self.stops = {stop: encode(stop) for stop in ".,;:!?"}
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Whole
         if len(self) >= CACHED_PIECES:
             self.clear()
-        ids = self.encode(" " + piece)
+        if piece[-1] in self.stops and piece[-2:-1].isalnum():
+            # the split parts a single stop from a letter or digit before it
+            ids = self[piece[:-1]] + self.stops[piece[-1]]
+        else:
+            ids = self.encode(" " + piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -69,19 +75,23 @@ class ByteEncoder:
             raise ValueError("ids must follow the order of merges")
         ranks = {token_bytes(t, table): i for t, i in vocab.items()}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.specials = list(special)
         self.exact = Tokenizer.from_file(vocabulary)
         self.exact.no_truncation()
         self.exact.no_padding()
         self.pieces = _Pieces(self._ids)
 
     def _ids(self, text: str) -> bytes:
-        import numpy as np
-
         if text.isascii() or max(text) < LATIN_END:
-            ids = self.fast.encode(text, allowed_special="all")
+            for special in self.specials:
+                if special in text:
+                    ids = self.fast.encode(text, allowed_special="all")
+                    break
+            else:
+                ids = self.fast.encode_ordinary(text)
         else:
             ids = self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit bytes."""
