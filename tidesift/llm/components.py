@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidesift.llm.common import NO_ID, id_of, text_of
 from tidesift.session import Workspace
 
 
@@ -43,3 +44,26 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
             break
         before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def drop_followers(docs: DataFrame, members: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``docs`` that lead their component: the least id, one with an id before one without.
+
+    ``members`` has (id, txt, root) of every row, txt being the hash of its text. Rows
+    are told apart by id and text, so others that share an id, or have none, stay.
+    Only keys of rows that go, or that stand there more than once, are joined.
+    """
+    own = members.groupBy("root", "id", "txt").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct((F.col("id") == NO_ID).alias("none"), F.col("id").alias("first"), F.col("txt").alias("text"))
+    best = own.groupBy("root").agg(F.min(rank).alias("best"), F.sum("n").alias("all")).filter("all > 1")
+    judged = own.join(best, "root").withColumn("leads", (F.col("id") == F.col("best.first")) & (F.col("txt") == F.col("best.text")))
+    space = Workspace(docs.sparkSession, "followers")
+    judged = space.keep(judged.select(F.col("id").alias("_f_id"), F.col("txt").alias("_f_txt"), "leads", "n"))
+    match = (id_of(id_column) == F.col("_f_id")) & (F.xxhash64(text_of(text_column)) == F.col("_f_txt"))
+    gone = judged.filter("NOT leads OR n > 1").select("_f_id", "_f_txt")
+    left = docs.join(gone, match, "left_anti")
+    repeated = judged.filter("leads AND n > 1").select("_f_id", "_f_txt")
+    if repeated.isEmpty():
+        return left
+    one = docs.join(repeated, match).dropDuplicates(["_f_id", "_f_txt"]).select(*docs.columns)
+    return left.unionByName(one)

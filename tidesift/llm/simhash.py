@@ -43,25 +43,31 @@ SMALL_BUCKET = 64
 BLOCK = 100_000
 
 
-def fingerprint(text: str) -> int:
-    """Bit b is set if more than half of the shingles' hashes have it."""
+def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
+    """Hashes of all runs of ``size`` words, in blocks; a shorter text is one run, a blank text none."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # bytes: A-Z and ASCII blanks only
     if not words:
-        return 0
-    n = max(len(words) - SHINGLE + 1, 1)
-    set_bits = np.zeros(64, dtype=np.int64)
+        return
+    n = max(len(words) - size + 1, 1)
     for low in range(0, n, BLOCK):
-        part = words[low : low + BLOCK + SHINGLE - 1]
+        part = words[low : low + BLOCK + size - 1]
         line = b" ".join(part)
         ends = np.cumsum([len(w) + 1 for w in part])
-        width = min(SHINGLE, len(part))
+        width = min(size, len(part))
         starts = np.r_[0, ends[:-width]].tolist()
         stops = (ends[width - 1 :] - 1).tolist()
-        hashes = [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        yield np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str) -> int:
+    """Bit b is set if more than half of the shingles' hashes have it."""
+    set_bits, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, SHINGLE):
+        octets = hashes.view(np.uint8).reshape(-1, 8)
         set_bits += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(set_bits * 2 > n, bitorder="little").view("<u8")[0])
 
 
