@@ -1,14 +1,16 @@
 """Exact deduplication by progressive refinement, in DataFrame operations only.
 
 Groups are refined from cheap to dear keys: length in bytes, then a hash of the
-first characters, then the full SHA-256. Only documents whose (length, prefix)
-occurs more than once have their full text hashed.
+first characters, then the full SHA-256. To find the groups, only documents whose
+(length, prefix) occurs more than once have their full text hashed; decisions are
+joined to the rows by id and SHA-256, so no other text shares them.
 
 Defined results
     null text      counts as empty; all empty texts are one group
     null doc_id    lower than any id; a group of null ids keeps a null id
-    equal ids      rows that share doc_id, length and prefix are one document: they
-                   share its decision, and ``drop_copies`` leaves one of them
+    equal ids      rows that share doc_id and text are one document: they share its
+                   decision, and ``drop_copies`` leaves one of them; rows that
+                   share an id, or have none, but differ in text are unlike
     long texts     read whole; only digests are grouped
     empty table    an empty result
 """
@@ -22,7 +24,7 @@ from tidesift.llm.common import NO_ID, ascii_lower, id_of, text_of
 from tidesift.session import Workspace
 
 PREFIX_CHARS = 256
-_ID, _LEN, _PFX = "_dd_id", "_dd_len", "_dd_pfx"
+_ID, _LEN, _PFX, _FULL = "_dd_id", "_dd_len", "_dd_pfx", "_dd_full"
 
 
 def _keys(id_column: str, text_column: str) -> list[Column]:
@@ -31,11 +33,15 @@ def _keys(id_column: str, text_column: str) -> list[Column]:
     return [id_of(id_column).alias(_ID), F.octet_length(text).alias(_LEN), prefix.alias(_PFX)]
 
 
+def _full(text_column: str) -> Column:
+    return F.unhex(F.sha2(ascii_lower(text_of(text_column)), 256)).alias(_FULL)
+
+
 def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Members of groups of two or more equal texts.
 
-    Columns: _dd_id, _dd_len, _dd_pfx (the document), keep (largest id of the
-    group), group_size, same (rows of this very document).
+    Columns: _dd_id, _dd_full (the document), keep (largest id of the group),
+    group_size, same (rows of this very document).
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     keys = space.keep(docs.select(*_keys(id_column, text_column)))
@@ -53,26 +59,26 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     whole = docs.select(*_keys(id_column, text_column), text_of(text_column).alias("_dd_text"))
     members = (
         whole.join(prefixes, [_LEN, _PFX], "left_semi")
-        .select(_ID, _LEN, _PFX, F.unhex(F.sha2(ascii_lower(F.col("_dd_text")), 256)).alias("_dd_full"))
-        .groupBy(_LEN, _PFX, "_dd_full", _ID)
+        .select(_ID, _LEN, _PFX, _full("_dd_text"))
+        .groupBy(_LEN, _PFX, _FULL, _ID)
         .agg(F.count(F.lit(1)).alias("same"))
     )
     members = space.keep(members)
     space.free(keys, prefixes)
     groups = (
-        members.groupBy(_LEN, _PFX, "_dd_full")
+        members.groupBy(_LEN, _PFX, _FULL)
         .agg(F.max(_ID).alias("keep"), F.sum("same").alias("group_size"))
         .filter("group_size > 1")
     )
-    return members.join(groups, [_LEN, _PFX, "_dd_full"]).select(_ID, _LEN, _PFX, "keep", "group_size", "same")
+    return members.join(groups, [_LEN, _PFX, _FULL]).select(_ID, _FULL, "keep", "group_size", "same")
 
 
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **more: Column) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, and columns computed from it in the same scan."""
     groups = copy_groups(docs, id_column, text_column)
-    rows = docs.select(*_keys(id_column, text_column), *[c.alias(name) for name, c in more.items()])
+    rows = docs.select(id_of(id_column).alias(_ID), _full(text_column), *[c.alias(name) for name, c in more.items()])
     own = F.coalesce(F.col("keep"), F.col(_ID))
-    return rows.join(groups, [_ID, _LEN, _PFX], "left").select(
+    return rows.join(groups, [_ID, _FULL], "left").select(
         F.nullif(F.col(_ID), F.lit(NO_ID)).alias(id_column),
         F.nullif(own, F.lit(NO_ID)).alias("keep_id"),
         F.coalesce(F.col("group_size"), F.lit(1)).cast("long").alias("group_size"),
@@ -85,9 +91,11 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The rows that stay: of equal texts the one with the largest id."""
     space = Workspace(docs.sparkSession, "exact-dedup")
     groups = space.keep(copy_groups(docs, id_column, text_column))
-    tagged = docs.select("*", *_keys(id_column, text_column))
-    left = tagged.join(groups.filter(F.col("keep") != F.col(_ID)), [_ID, _LEN, _PFX], "left_anti")
-    repeated = groups.filter((F.col("keep") == F.col(_ID)) & (F.col("same") > 1))
-    if not repeated.isEmpty():
-        left = left.dropDuplicates([_ID, _LEN, _PFX])
-    return left.select(*docs.columns)
+    tagged = docs.select("*", id_of(id_column).alias(_ID), _full(text_column))
+    gone = groups.filter((F.col("keep") != F.col(_ID)) | (F.col("same") > 1)).select(_ID, _FULL)
+    left = tagged.join(gone, [_ID, _FULL], "left_anti").select(*docs.columns)
+    repeated = groups.filter((F.col("keep") == F.col(_ID)) & (F.col("same") > 1)).select(_ID, _FULL)
+    if repeated.isEmpty():
+        return left
+    one = tagged.join(repeated, [_ID, _FULL], "left_semi").dropDuplicates([_ID, _FULL])
+    return left.unionByName(one.select(*docs.columns))

@@ -15,8 +15,10 @@ cut off and none is paired out.
 
 Defined results
     null text      an empty text: fingerprint zero, linked like any other
-    null doc_id    the least id of all; a component led by it has a null id
-    equal ids      each row gets its own fingerprint and component
+    null doc_id    the least id of all; a component led by it has a null id.
+                   ``drop_near_copies`` lets a row with an id stay before one without
+    equal ids      each row gets its own fingerprint and component, and stays or
+                   goes by id and text; rows equal in both leave one
     long texts     whole, hashed in blocks
     empty table    an empty result
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.llm.common import as_id, id_of, int64, text_of
-from tidesift.llm.components import components
+from tidesift.llm.components import components, drop_followers
 from tidesift.llm.golay import near_indices
 from tidesift.session import Workspace
 
@@ -73,8 +75,8 @@ def fingerprint(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["id", "txt", "fp"])
 
 
 def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,15 +149,21 @@ def links(nodes: DataFrame, space: Workspace, small: int = SMALL_BUCKET) -> Data
     return verified.union(stars)
 
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: fingerprint (long) and component_id, the least id reachable through links."""
-    space = Workspace(docs.sparkSession, "simhash")
-    narrow = docs.select(id_of(id_column).alias("id"), text_of(text_column).alias("text"))
-    rows = space.keep(narrow.mapInArrow(_fingerprints, "id long, fp long"))
+def _rooted(docs: DataFrame, id_column: str, text_column: str, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(id, txt, fp) of every row, txt the hash of its text, and (fp, least, root) of every fingerprint."""
+    text = text_of(text_column)
+    narrow = docs.select(id_of(id_column).alias("id"), F.xxhash64(text).alias("txt"), text.alias("text"))
+    rows = space.keep(narrow.mapInArrow(_fingerprints, "id long, txt long, fp long"))
     # nodes are fingerprints, as ids may repeat; the least id of a component is looked up last
     nodes = space.keep(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), space), space)
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, rooted
+
+
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: fingerprint (long) and component_id, the least id reachable through links."""
+    rows, rooted = _rooted(docs, id_column, text_column, Workspace(docs.sparkSession, "simhash"))
     led = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(led, "fp").select(
         as_id(F.col("id")).alias(id_column), F.col("fp").alias("fingerprint"), as_id(F.col("component")).alias("component_id")
@@ -165,11 +173,5 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stay: of every component the document with the least id."""
     space = Workspace(docs.sparkSession, "simhash")
-    groups = space.keep(
-        near_groups(docs, id_column, text_column).select(id_of(id_column).alias("_nd_id"), id_of("component_id").alias("_nd_first"))
-    )
-    stay = groups.filter("_nd_id = _nd_first").groupBy("_nd_id").agg(F.count(F.lit(1)).alias("_nd_n"))
-    kept = docs.join(stay.select("_nd_id"), id_of(id_column) == F.col("_nd_id"), "left_semi")
-    if not stay.filter("_nd_n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_column])
-    return kept
+    rows, rooted = _rooted(docs, id_column, text_column, space)
+    return drop_followers(docs, space.keep(rows.join(rooted, "fp").select("id", "txt", "root")), id_column, text_column)
