@@ -84,6 +84,23 @@ def test_rules_against_brute_force(make_docs):
     assert any(v[6] for v in by_id.values()) and any(not v[7] and not v[5] for v in by_id.values())
 
 
+def test_rules_at_production_limits(make_docs):
+    """A line goes above 100 texts and above 5 % of its host's texts, as op6's SQL states."""
+    line = " ".join(f"shared{k}" for k in range(200))
+    texts, hosts = [], []
+    for host, with_line, without in (("often", 101, 20), ("few", 100, 20), ("rare", 101, 1919)):
+        for i in range(with_line + without):
+            own = " ".join(f"{host}{i}word{k}" for k in range(60))
+            texts.append(f"{own}\n{line}" if i < with_line else own)
+            hosts.append(host)
+    got = judge(make_docs(texts, sources=hosts)).collect()
+    want = brute_rules(list(zip(range(len(texts)), texts, hosts, strict=True)), Limits())
+    assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in got} == {k[0]: v for k, v in want.items()}
+    lost = [r["doc_id"] for r in got if r["lost_words"] == 200]
+    assert sorted(lost) == list(range(100)) and all(not r["kept"] for r in got if r["doc_id"] in lost)
+    assert sum(r["lost_words"] > 0 for r in got) == 100
+
+
 def test_rules_spare_copies(make_docs):
     text = "\n".join(" ".join(f"w{9 * k + j}" for j in range(9)) for k in range(9))
     docs = make_docs([text] * 50 + [f"{text}\nand {i} more" for i in range(2)], sources=["h"] * 52)
