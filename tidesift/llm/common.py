@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,16 @@ def per_process(name: str, build: Callable[[], Any]) -> Any:
     return getattr(store, name)
 
 
+def share(spark: SparkSession, value: Any):
+    """A broadcast of any value; instances of this package's classes travel with their classes."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(shared) -> Any:
+    """In a task: the value of a broadcast made by ``share``."""
+    return pickle.loads(shared.value)
+
+
 def int64(column) -> np.ndarray:
     """An Arrow integer column without nulls as numpy."""
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)

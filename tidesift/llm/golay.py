@@ -9,11 +9,12 @@ other's five.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
 
+from tidesift.llm.common import per_process
+
 LENGTH, CHECK = 23, 11
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 NEAR = 6  # codewords listed per word
@@ -26,7 +27,6 @@ def _remainder(word: int) -> int:
     return word
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndrome of each 12-bit head, and per syndrome the error patterns to the nearby codewords."""
     heads = np.array([_remainder(head << CHECK) for head in range(1 << (LENGTH - CHECK))], dtype=np.int64)
@@ -45,7 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def near_indices(words: np.ndarray) -> np.ndarray:
     """(n, 6) 12-bit indices of the codewords near each word; -1 where there are fewer."""
-    heads, patterns = _tables()
+    heads, patterns = per_process("golay", _tables)
     words = words.astype(np.int64)
     errors = patterns[heads[words >> CHECK] ^ (words & ((1 << CHECK) - 1))]
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> CHECK)

@@ -38,7 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.llm.common import fold_of, text_of
+from tidesift.llm.common import fold_of, shared_value, text_of
+from tidesift.llm.common import share as broadcast_of
 from tidesift.llm.log_bilinear import UNITS, Model, Trainer, start, windows
 from tidesift.session import Workspace
 
@@ -166,7 +167,7 @@ class _Known(dict):
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Units of every text, sums over its head words, and its other words."""
-    counts: Counts = shared.value
+    counts: Counts = shared_value(shared)
     part, row = TaskContext.get().partitionId() << 40, 0
     known = _Known(counts)
     unit, base, within, is_head = (itemgetter(i) for i in range(4))
@@ -270,7 +271,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     counted = training.select("text").mapInArrow(_word_counts, "word binary, cls int, n long")
     counts = space.keep(counted.groupBy("word", "cls").agg(F.sum("n").alias("n")))
     found = gather_counts(counts, training.count())
-    shared = spark.sparkContext.broadcast(found)
+    shared = broadcast_of(spark, found)
 
     kinds = "doc_id long, held_out boolean, rid long, n_tokens long, units binary, base double, within double, known long, "
     kinds += "rest array<struct<word: binary, unseen: double>>"

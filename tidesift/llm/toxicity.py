@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.llm.boosting import Calibrated, fit_calibrated
-from tidesift.llm.common import fold_of, id_of, text_of
+from tidesift.llm.common import fold_of, id_of, share, shared_value, text_of
 
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.7
@@ -221,7 +221,7 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    tokens = _Tokens(shared.value)
+    tokens = _Tokens(shared_value(shared))
     for batch in batches:
         labels = batch.column(1).to_pylist()
         rows = [features(t.as_py(), tokens, y) for t, y in zip(batch.column(0), labels, strict=True)]
@@ -237,7 +237,7 @@ def _scored(texts, tokens: _Tokens, model: Calibrated | float) -> np.ndarray:
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    lexicon, model = shared.value
+    lexicon, model = shared_value(shared)
     tokens = _Tokens(lexicon)
     for batch in batches:
         score = _scored(batch.column(1), tokens, model)
@@ -245,7 +245,7 @@ def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def _clean_rows(batches: Iterator[pa.RecordBatch], shared, text_column: str) -> Iterator[pa.RecordBatch]:
-    lexicon, model = shared.value
+    lexicon, model = shared_value(shared)
     tokens = _Tokens(lexicon)
     for batch in batches:
         yield batch.filter(pa.array(_scored(batch.column(text_column), tokens, model) < THRESHOLD))
@@ -259,7 +259,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
         """doc_id, held_out, score, predicted of every row."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.lexicon, self.model))
+        shared = share(docs.sparkSession, (self.lexicon, self.model))
         narrow = docs.select(
             F.col(id_column).cast("long").alias("doc_id"),
             text_of(text_column).alias("text"),
@@ -271,7 +271,7 @@ class ToxicityModel:
 
     def keep_clean(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
         """The rows that are not predicted toxic, with all their columns."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.lexicon, self.model))
+        shared = share(docs.sparkSession, (self.lexicon, self.model))
         return docs.mapInArrow(lambda b: _clean_rows(b, shared, text_column), docs.schema)
 
 
@@ -308,7 +308,7 @@ def fit_toxicity(
     n_rows, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     lexicon = Lexicon({r["unit"]: (r["t"], r["n"]) for r in found}, n_toxic, n_rows)
 
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = share(spark, lexicon)
     drawn = rows.mapInArrow(lambda b: _train_rows(b, shared), "x array<double>, y int, draw long")
     table = drawn.toPandas().sort_values("draw", kind="stable")
     x = np.stack(table["x"].to_numpy()) if len(table) else np.zeros((0, N_FEATURES))
