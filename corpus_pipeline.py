@@ -13,7 +13,7 @@ from tidesift.llm.common import documents
 from tidesift.llm.exact_dedup import drop_copies
 from tidesift.llm.packing import pack
 from tidesift.llm.quality_rules import keep_good
-from tidesift.llm.shingle_copies import drop_similar
+from tidesift.llm.simhash import drop_near_copies
 from tidesift.llm.toxicity import fit_toxicity
 from tidesift.plans.registry import query
 from tidesift.session import Workspace
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the least id."""
-    return drop_similar(docs)
+    """Of each group of near copies (SimHash of three-word shingles, two or fewer differing bits) the document with the least id."""
+    return drop_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
