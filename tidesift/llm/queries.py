@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidesift.llm.common import UPPER, ascii_lower, documents, text_of
@@ -16,6 +16,7 @@ from tidesift.llm.quality_rules import judge
 from tidesift.llm.simhash import near_groups
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
 from tidesift.llm.toxicity import fit_toxicity
+from tidesift.llm.turn_repair import repair
 from tidesift.llm.word_bpe import round_trip_digests
 from tidesift.plans.registry import query
 
@@ -144,3 +145,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     return score_texts(documents(spark, sf_dir))
+
+
+def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
+    """Conversations with faults put in by checksum, nulls being one space, and how often each row stands there."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    fault = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    broken = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(fault == 1, F.lit("")).when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, F.lit(0)).when(fault == 3, F.lit(2)).otherwise(F.lit(1)).alias("copies"),
+    )
+    return broken, F.col("copies")
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation, after damage."""
+    turns, copies = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair(turns, copies=copies)
