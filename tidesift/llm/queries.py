@@ -17,6 +17,7 @@ from tidesift.llm.simhash import near_groups
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
 from tidesift.llm.toxicity import fit_toxicity
 from tidesift.llm.turn_repair import repair
+from tidesift.llm.whitening import fit_whitening
 from tidesift.llm.word_bpe import round_trip_digests
 from tidesift.plans.registry import query
 
@@ -166,3 +167,23 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation, after damage."""
     turns, copies = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return repair(turns, copies=copies)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector, one row per component."""
+    model = fit_whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    n = model.centre.n if model.centre else 0
+    # at most eight numbers
+    explained = F.array(*[F.lit(float(e) / model.trace) for e in model.variances]).cast("array<double>")
+    return model.rows().select(
+        "vec_id", "deviation", F.lit(n).cast("long").alias("n"), F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.element_at(explained, F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
