@@ -14,6 +14,7 @@ from tidesift.llm.packing import pack
 from tidesift.llm.piece_counts import count_tokens
 from tidesift.llm.quality_rules import judge
 from tidesift.llm.simhash import near_groups
+from tidesift.llm.tensor_minhash import near_sets
 from tidesift.llm.token_files import new_path, read_tokens, write_tokens
 from tidesift.llm.toxicity import fit_toxicity
 from tidesift.llm.turn_repair import repair
@@ -187,3 +188,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(explained, F.col("place") + 1).alias("explained"),
         F.lit(model.identity_error).cast("double").alias("identity_error"),
     )
+
+
+@query("op11_minhash_near_dedup")
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document at Jaccard 0.85 of three-word shingles."""
+    return near_sets(documents(spark, sf_dir))
