@@ -57,9 +57,9 @@ def near_copies(n, words, changes, seed=7):
     return texts
 
 
-@pytest.mark.parametrize("growth", [4])
-def test_crowded_tables(make_docs, monkeypatch, growth):
-    monkeypatch.setattr(tensor_minhash, "HEAD_GROWTH", growth)
+@pytest.mark.parametrize("slice_rows", [20, 2_048])
+def test_crowded_tables(make_docs, monkeypatch, slice_rows):
+    monkeypatch.setattr(tensor_minhash, "SLICE_ROWS", slice_rows)
     texts = near_copies(160, 150, 9)  # links and pairs just below the limit
     shared = " ".join(f"p{i}" for i in range(60))  # a passage that many unlike texts hold
     rng = random.Random(2)
