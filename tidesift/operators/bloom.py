@@ -23,6 +23,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidesift.session import Workspace
 
@@ -62,6 +63,14 @@ def _fresh(df: DataFrame, other: DataFrame, stem: str) -> str:
     return stem
 
 
+def _common(df: DataFrame, table: DataFrame, name: str, own: Column) -> T.DataType:
+    """The type in which Spark compares a key column with its expression."""
+    left, right = table.select(F.col(f"`{name}`").alias("x")), df.select(own.alias("x"))
+    if left.schema["x"].dataType == right.schema["x"].dataType:
+        return left.schema["x"].dataType
+    return left.union(right).schema["x"].dataType
+
+
 class KeyTable:
     """Keys that tell rows of ``df`` apart: ``keys`` maps each key column of ``table`` to an expression over ``df``."""
 
@@ -69,9 +78,11 @@ class KeyTable:
         space = Workspace(df.sparkSession, "keys")
         self.df = df
         self.names = [_fresh(df, table, f"_key{i}") for i in range(len(keys))]
-        found = table.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(keys, self.names, strict=True)]).distinct()
-        self.table = space.keep(found)
-        self.own = [e.cast(self.table.schema[name].dataType) for e, name in zip(keys.values(), self.names, strict=True)]
+        # compared as the wider of both types; a hash depends on the type
+        kinds = [_common(df, table, c, e) for c, e in keys.items()]
+        columns = zip(keys, self.names, kinds, strict=True)
+        self.table = space.keep(table.select(*[F.col(f"`{c}`").cast(kind).alias(name) for c, name, kind in columns]).distinct())
+        self.own = [e.cast(kind) for e, kind in zip(keys.values(), kinds, strict=True)]
         self.n = self.table.count()
         self.filter = None
         if self.n > few:

@@ -1,5 +1,7 @@
 """Joins and set operations on keys. All joins are equi-joins; sides are never
-hinted, so the optimizer broadcasts by measured size and AQE splits hot keys."""
+hinted, so the optimizer broadcasts by measured size and AQE splits hot keys.
+Rows are dropped or kept by key tables without moving the rows that miss them
+(``bloom``); a null key matches no other."""
 
 from __future__ import annotations
 
@@ -8,17 +10,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidesift.operators.bloom import drop_rows, keep_rows
+
 
 def union_by_name(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _known(ids: DataFrame, key: str) -> DataFrame:
+    return ids.filter(F.col(key).isNotNull()).select(key)
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "uid") -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi")
+    return keep_rows(df, _known(ids, key), {key: F.col(key)})
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "uid") -> DataFrame:
-    return df.join(ids.select(key), key, "left_anti")
+    return drop_rows(df, _known(ids, key), {key: F.col(key)})
 
 
 def merge_left(df: DataFrame, other: DataFrame, value: str, fallback: str, out: str, key: str = "uid") -> DataFrame:
@@ -36,7 +44,7 @@ def attach_labels(df: DataFrame, other: DataFrame, label: str, key: str = "tweet
 
 def key_difference(a: DataFrame, b: DataFrame, key: str = "tweet_id") -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``."""
-    return a.join(b.select(key), key, "left_anti")
+    return drop_rows(a, _known(b, key), {key: F.col(key)})
 
 
 def append_missing(base: DataFrame, other: DataFrame, key: str = "tweet_id") -> DataFrame:
