@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidesift.llm.exact_dedup import drop_copies, mark_copies
+from tidesift.llm.quality_rules import keep_good
 from tidesift.llm.shingle_copies import drop_similar
 from tidesift.llm.simhash import drop_near_copies
 
@@ -35,3 +37,17 @@ def test_texts_alike_at_the_beginning_are_no_copies(make_docs):
     assert marked == sorted(
         [(None, 4, 2, False), (None, None, 2, True), (None, None, 2, True), (4, 4, 2, True), (4, 4, 2, True), (2, 4, 2, False)], key=repr
     )
+
+
+@pytest.mark.parametrize("drop", [drop_near_copies, drop_similar, drop_copies, keep_good])
+def test_columns_named_as_the_operators_own(make_docs, drop):
+    own = ["_dd_id", "_dd_full", "_dd_len", "_b_id", "_b_txt", "_b_host", "_f_id", "_f_txt", "id", "txt", "node", "root", "_key0", "_bloom_row"]
+    words = unlike(8)
+    texts = [f"{a} {b}" for a, b in zip(words[:4], words[4:], strict=True)]
+    docs = make_docs([*texts, texts[0], texts[0]], ids=[0, 1, 2, 3, 4, 4])
+    for i, name in enumerate(own):
+        docs = docs.withColumn(name, F.lit(i))
+    left = drop(docs)
+    assert left.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in left.collect())
+    assert ids in ([0, 1, 2, 3], [1, 2, 3, 4], [0, 1, 2, 3, 4, 4]) and all(r["_b_id"] == 3 for r in left.collect())

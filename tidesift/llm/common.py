@@ -86,5 +86,16 @@ def int64(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
+def one_of_each(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """One row for each value of the key expressions, with the columns it has."""
+    names = []
+    for name in keys:
+        while name in df.columns or name in names:
+            name += "_"
+        names.append(name)
+    tagged = df.withColumns(dict(zip(names, keys.values(), strict=True)))
+    return tagged.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.llm.common import NO_ID, id_of, text_of
+from tidesift.llm.common import NO_ID, id_of, one_of_each, text_of
+from tidesift.operators.bloom import drop_rows, keep_rows
 from tidesift.session import Workspace
 
 
@@ -58,12 +59,10 @@ def drop_followers(docs: DataFrame, members: DataFrame, id_column: str, text_col
     best = own.groupBy("root").agg(F.min(rank).alias("best"), F.sum("n").alias("all")).filter("all > 1")
     judged = own.join(best, "root").withColumn("leads", (F.col("id") == F.col("best.first")) & (F.col("txt") == F.col("best.text")))
     space = Workspace(docs.sparkSession, "followers")
-    judged = space.keep(judged.select(F.col("id").alias("_f_id"), F.col("txt").alias("_f_txt"), "leads", "n"))
-    match = (id_of(id_column) == F.col("_f_id")) & (F.xxhash64(text_of(text_column)) == F.col("_f_txt"))
-    gone = judged.filter("NOT leads OR n > 1").select("_f_id", "_f_txt")
-    left = docs.join(gone, match, "left_anti")
-    repeated = judged.filter("leads AND n > 1").select("_f_id", "_f_txt")
+    judged = space.keep(judged.select("id", "txt", "leads", "n"))
+    document = {"id": id_of(id_column), "txt": F.xxhash64(text_of(text_column))}
+    left = drop_rows(docs, judged.filter("NOT leads OR n > 1").select("id", "txt"), document)
+    repeated = judged.filter("leads AND n > 1").select("id", "txt")
     if repeated.isEmpty():
         return left
-    one = docs.join(repeated, match).dropDuplicates(["_f_id", "_f_txt"]).select(*docs.columns)
-    return left.unionByName(one)
+    return left.unionByName(one_of_each(keep_rows(docs, repeated, document), document))

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.llm.common import NO_ID, ascii_lower, id_of, text_of
+from tidesift.llm.common import NO_ID, ascii_lower, id_of, one_of_each, text_of
+from tidesift.operators.bloom import drop_rows, keep_rows
 from tidesift.session import Workspace
 
 PREFIX_CHARS = 256
@@ -34,7 +35,7 @@ def _keys(id_column: str, text_column: str) -> list[Column]:
 
 
 def _full(text_column: str) -> Column:
-    return F.unhex(F.sha2(ascii_lower(text_of(text_column)), 256)).alias(_FULL)
+    return F.unhex(F.sha2(ascii_lower(text_of(text_column)), 256))
 
 
 def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -59,7 +60,7 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     whole = docs.select(*_keys(id_column, text_column), text_of(text_column).alias("_dd_text"))
     members = (
         whole.join(prefixes, [_LEN, _PFX], "left_semi")
-        .select(_ID, _LEN, _PFX, _full("_dd_text"))
+        .select(_ID, _LEN, _PFX, _full("_dd_text").alias(_FULL))
         .groupBy(_LEN, _PFX, _FULL, _ID)
         .agg(F.count(F.lit(1)).alias("same"))
     )
@@ -76,7 +77,7 @@ def copy_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **more: Column) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, and columns computed from it in the same scan."""
     groups = copy_groups(docs, id_column, text_column)
-    rows = docs.select(id_of(id_column).alias(_ID), _full(text_column), *[c.alias(name) for name, c in more.items()])
+    rows = docs.select(id_of(id_column).alias(_ID), _full(text_column).alias(_FULL), *[c.alias(name) for name, c in more.items()])
     own = F.coalesce(F.col("keep"), F.col(_ID))
     return rows.join(groups, [_ID, _FULL], "left").select(
         F.nullif(F.col(_ID), F.lit(NO_ID)).alias(id_column),
@@ -91,11 +92,10 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The rows that stay: of equal texts the one with the largest id."""
     space = Workspace(docs.sparkSession, "exact-dedup")
     groups = space.keep(copy_groups(docs, id_column, text_column))
-    tagged = docs.select("*", id_of(id_column).alias(_ID), _full(text_column))
+    document = {_ID: id_of(id_column), _FULL: _full(text_column)}
     gone = groups.filter((F.col("keep") != F.col(_ID)) | (F.col("same") > 1)).select(_ID, _FULL)
-    left = tagged.join(gone, [_ID, _FULL], "left_anti").select(*docs.columns)
+    left = drop_rows(docs, gone, document)
     repeated = groups.filter((F.col("keep") == F.col(_ID)) & (F.col("same") > 1)).select(_ID, _FULL)
     if repeated.isEmpty():
         return left
-    one = tagged.join(repeated, [_ID, _FULL], "left_semi").dropDuplicates([_ID, _FULL])
-    return left.unionByName(one.select(*docs.columns))
+    return left.unionByName(one_of_each(keep_rows(docs, repeated, document), document))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidesift.llm.common import BLANKS, ascii_lower, id_of, once, text_of
+from tidesift.operators.bloom import drop_rows
 from tidesift.session import Workspace
 
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -206,9 +207,5 @@ def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         .select(id_of(id_column).alias("_b_id"), F.col("text_hash").alias("_b_txt"), F.col("host").alias("_b_host"))
         .distinct()
     )
-    match = (
-        (id_of(id_column) == F.col("_b_id"))
-        & (F.xxhash64(text_of(text_column)) == F.col("_b_txt"))
-        & F.col(host_column).cast("string").eqNullSafe(F.col("_b_host"))
-    )
-    return docs.join(bad, match, "left_anti")
+    document = {"_b_id": id_of(id_column), "_b_txt": F.xxhash64(text_of(text_column)), "_b_host": F.col(host_column).cast("string")}
+    return drop_rows(docs, bad, document)
