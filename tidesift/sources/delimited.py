@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidesift.operators.sampling import SEED, sample_frac
+from tidesift.sources.quoted import QuotedFiles, can_split
 
 # Cell texts that mean "missing" in the files' usual reader.
 NA_VALUES = [
@@ -58,8 +59,9 @@ def read_table(
     file's header is bad: dropped (``skip``), or the job stops (``error``). A
     short line is filled with nulls. ``rename`` also selects.
 
-    ``multi_line`` lets quoted fields hold line breaks; such files are read by
-    one task each, so it is off unless a source needs it. Charsets beyond
+    ``multi_line`` lets quoted fields hold line breaks. Large files are many
+    tasks then, too (``quoted``), but each file is read twice; only files in
+    charsets of wide characters are one task each. Charsets beyond
     Spark's own need ``spark.sql.legacy.javaCharsets`` in the session, as
     ``build_session`` sets it.
     """
@@ -75,7 +77,20 @@ def read_table(
         "multiLine": str(bool(multi_line)).lower(),
         "mode": "PERMISSIVE",
     }
-    if columns is None:
+    if bad_lines not in ("skip", "error"):
+        raise ValueError("bad_lines must be 'skip' or 'error'")
+    split = bool(multi_line) and quoting and can_split(encoding)
+    if split:
+        quoted = QuotedFiles(spark, paths, sep, encoding, pattern, recursive)
+        if columns is None:
+            heads = {head: tuple(_names(head, sep, quoting, variants)) for head in quoted.heads()}
+            if not heads:
+                raise FileNotFoundError("no file with a header line")
+            groups = {names: [i] for i, names in enumerate(dict.fromkeys(heads.values()))}
+            records = quoted.space.keep(quoted.records({head: groups[names][0] for head, names in heads.items()}))
+        else:
+            groups, records = {tuple(columns): [0]}, quoted.records()
+    elif columns is None:
         groups = _by_header(spark, list_files(spark, paths, pattern, recursive), charset, sep, quoting, variants)
         options["recursiveFileLookup"] = "true"  # folder names are no columns
     else:
@@ -83,14 +98,18 @@ def read_table(
         options["recursiveFileLookup"] = str(recursive).lower()
         if pattern:
             options["pathGlobFilter"] = pattern
-    if bad_lines not in ("skip", "error"):
-        raise ValueError("bad_lines must be 'skip' or 'error'")
 
-    def read(names: tuple[str, ...], files: list[str]) -> DataFrame:
+    def read(names: tuple[str, ...], files: list) -> DataFrame:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
-        one = spark.read.options(**options).schema(schema).option("header", columns is None).csv(files)
-        if file_column:
-            one = one.withColumn(file_column, F.url_decode(F.col("_metadata.file_path")))
+        if split:
+            shape = ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.names)
+            parsed = F.from_csv("record", F.lit(shape), {k: v for k, v in options.items() if k not in ("encoding", "recursiveFileLookup", "pathGlobFilter")})
+            path = [F.url_decode("path").alias(file_column)] if file_column else []
+            one = records.filter(F.col("grp") == files[0]).select(parsed.alias("_row"), *path).select("_row.*", *path and [file_column])
+        else:
+            one = spark.read.options(**options).schema(schema).option("header", columns is None).csv(files)
+            if file_column:
+                one = one.withColumn(file_column, F.url_decode(F.col("_metadata.file_path")))
         if bad_lines == "skip":
             one = one.filter(F.col(_EXTRA).isNull())
         else:
@@ -112,6 +131,12 @@ def read_table(
     return df if frac is None else sample_rows(df, frac, seed)
 
 
+def _names(line: str, sep: str, quoting: bool, variants: Mapping[str, str] | None) -> list[str]:
+    """The column names of a header line."""
+    quotes = {"quotechar": '"'} if quoting else {"quoting": csv.QUOTE_NONE}
+    return clean_names(next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, **quotes)), variants)
+
+
 def list_files(spark: SparkSession, paths: Sequence[str], pattern: str | None, recursive: bool) -> list[str]:
     """Files below the paths, sorted; names only, no content."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
@@ -142,9 +167,7 @@ def _by_header(
             reader.close()
         if line is None:
             continue  # an empty file has no rows
-        quotes = {"quotechar": '"'} if quoting else {"quoting": csv.QUOTE_NONE}
-        found = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, **quotes))
-        groups.setdefault(tuple(clean_names(found, variants)), []).append(file)
+        groups.setdefault(tuple(_names(line, sep, quoting, variants)), []).append(file)
     if not groups:
         raise FileNotFoundError("no file with a header line")
     return groups
