@@ -61,7 +61,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = vector_search.distinct_vectors(vectors(spark, sf))
-    index = vector_search.build_cells(rows, train="hash")
+    index = vector_search.build_cells(rows, nprobe=10, train="hash")
     return vector_search.nearest_cells(rows, index, index.nprobe).select("uid", F.col("bucket").alias("cell"))
 
 

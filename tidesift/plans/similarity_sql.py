@@ -55,8 +55,7 @@ UNIT_SQL = """
 raw AS (SELECT vec_id AS uid, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 unit AS (SELECT uid, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM raw)"""
 
-# Inverted lists with nlist = int(4 sqrt(n)) hash-drawn centroids and 10 probes,
-# rebuilt row by row: the approximate search has an exact counterpart.
+# Inverted lists with nlist = int(4 sqrt(n)) hash-drawn centroids, rebuilt row by row.
 CELL_SQL = f"""{UNIT_SQL},
 centers AS (
   SELECT i - 1 AS cell, v FROM (SELECT v, {place()} AS i FROM unit)
@@ -64,20 +63,20 @@ centers AS (
 near AS (
   SELECT uid, cell, row_number() OVER (
     PARTITION BY uid ORDER BY round(list_inner_product(unit.v, centers.v), 9) DESC, cell) AS n
-  FROM unit, centers),
-hits AS (
-  SELECT DISTINCT q.uid AS src, b.uid AS dst, round(list_inner_product(x.v, y.v), 9) AS score
-  FROM near q JOIN near b ON q.cell = b.cell AND q.n <= 10 AND b.n = 1
-  JOIN unit x ON x.uid = q.uid JOIN unit y ON y.uid = b.uid)"""
+  FROM unit, centers)"""
 
-RADIUS_SQL = f"WITH {CELL_SQL} SELECT src, dst, round(score, 6) AS score FROM hits WHERE src < dst AND score > 0.35"
+# A full scan: every pair of vectors.
+SCAN_SQL = f"""{UNIT_SQL},
+hits AS (SELECT x.uid AS src, y.uid AS dst, round(list_inner_product(x.v, y.v), 9) AS score FROM unit x, unit y)"""
 
-RADIUS_DEDUP_SQL = f"""WITH RECURSIVE {CELL_SQL},
+RADIUS_SQL = f"WITH {SCAN_SQL} SELECT src, dst, round(score, 6) AS score FROM hits WHERE src < dst AND score > 0.35"
+
+RADIUS_DEDUP_SQL = f"""WITH RECURSIVE {SCAN_SQL},
 edges AS (SELECT src, dst FROM hits WHERE src < dst AND score > 0.35),
 {first_wins_sql('edges', 'lost')}
 SELECT uid FROM unit WHERE uid NOT IN (SELECT uid FROM lost)"""
 
-KNN_SQL = f"""{CELL_SQL},
+KNN_SQL = f"""{SCAN_SQL},
 lists AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM hits),
 knn AS (SELECT src, dst, score FROM lists WHERE n <= 5 AND src < dst)"""
 
