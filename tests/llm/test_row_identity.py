@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidesift.llm.exact_dedup import drop_copies, mark_copies
 from tidesift.llm.quality_rules import keep_good
-from tidesift.llm.shingle_copies import drop_similar
 from tidesift.llm.simhash import drop_near_copies
 
 
@@ -18,7 +17,7 @@ def unlike(n):
     return [" ".join(str(rng.getrandbits(32)) for _ in range(40)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("drop", [drop_near_copies, drop_similar, drop_copies])
+@pytest.mark.parametrize("drop", [drop_near_copies, drop_copies])
 def test_unlike_texts_without_an_id_stay(make_docs, drop):
     texts = unlike(8)
     docs = make_docs([*texts, texts[0], texts[0], texts[5]], ids=[None] * 4 + [7] * 4 + [None, 3, 7])
@@ -39,7 +38,7 @@ def test_texts_alike_at_the_beginning_are_no_copies(make_docs):
     )
 
 
-@pytest.mark.parametrize("drop", [drop_near_copies, drop_similar, drop_copies, keep_good])
+@pytest.mark.parametrize("drop", [drop_near_copies, drop_copies, keep_good])
 def test_columns_named_as_the_operators_own(make_docs, drop):
     own = ["_dd_id", "_dd_full", "_dd_len", "_b_id", "_b_txt", "_b_host", "_f_id", "_f_txt", "id", "txt", "node", "root", "_key0", "_bloom_row"]
     words = unlike(8)
