@@ -70,3 +70,23 @@ def test_size_is_bounded(spark, monkeypatch):
     assert all(len(r["words"]) == 64 for r in table.collect())
     rows = spark.range(10_000).select("id", F.lit("x").alias("t"))
     assert drop_rows(rows, keys, {"id": F.col("id")}, 0).agg(F.min("id"), F.count("id")).first()[:] == (5_000, 5_000)
+
+
+def test_small_rows_take_the_plain_join(rows):
+    keys = rows.filter("uid % 3 = 0").select("uid")
+    split = KeyTable(rows, keys.unionByName(keys), {"uid": F.col("uid")}, 0, small=1 << 40)
+    assert split.filter is None
+    left = rows.filter("uid IS NULL OR uid % 3 <> 0").count()
+    assert split.drop().count() == left and split.keep().count() == 20_000 - left
+
+
+def test_dedup_of_rows_too_large_to_move(rows, monkeypatch):
+    from tidesift.operators import dedup
+
+    monkeypatch.setattr(dedup, "SMALL_BYTES", 0)
+    for keep, want in (("first", range(5_000)), ("last", range(15_000, 20_000))):
+        ids = dedup.dedup(rows.withColumn("n", F.col("_key0").cast("int")), ["name", "row"], "n", keep)
+        assert sorted(r["n"] for r in ids.collect()) == list(want)
+    tied = dedup.dedup(rows, ["name"], "row")  # equal order values: one row of each key
+    assert tied.count() == tied.select("name").distinct().count() == 5_000
+    assert dedup.dedup(rows, ["name"], "uid", "none").count() == 0

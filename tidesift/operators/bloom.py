@@ -31,6 +31,7 @@ BITS_PER_KEY = 12
 WORDS_PER_ROW = 64
 MOST_WORDS = 1 << 21
 FEW_KEYS = 2_000  # Spark broadcasts the keys themselves
+SMALL_BYTES = 64 << 20  # rows that may be moved rather than read twice
 
 
 def _places(keys: list[Column], rows: int) -> tuple[Column, Column, Column]:
@@ -72,19 +73,25 @@ def _common(df: DataFrame, table: DataFrame, name: str, own: Column) -> T.DataTy
 
 
 class KeyTable:
-    """Keys that tell rows of ``df`` apart: ``keys`` maps each key column of ``table`` to an expression over ``df``."""
+    """Keys that tell rows of ``df`` apart: ``keys`` maps each key column of ``table`` to an expression over ``df``.
 
-    def __init__(self, df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS):
+    Up to ``few`` keys, or ``small`` bytes of rows by Spark's estimate, the plain join does; the result is the same.
+    """
+
+    def __init__(self, df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS, small: int = 0):
         space = Workspace(df.sparkSession, "keys")
         self.df = df
         self.names = [_fresh(df, table, f"_key{i}") for i in range(len(keys))]
         # compared as the wider of both types; a hash depends on the type
         kinds = [_common(df, table, c, e) for c, e in keys.items()]
         columns = zip(keys, self.names, kinds, strict=True)
-        self.table = space.keep(table.select(*[F.col(f"`{c}`").cast(kind).alias(name) for c, name, kind in columns]).distinct())
+        self.table = table.select(*[F.col(f"`{c}`").cast(kind).alias(name) for c, name, kind in columns])
         self.own = [e.cast(kind) for e, kind in zip(keys.values(), kinds, strict=True)]
-        self.n = self.table.count()
         self.filter = None
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < small:
+            return
+        self.table = space.keep(self.table.distinct())
+        self.n = self.table.count()
         if self.n > few:
             words, self.rows = bloom_table(self.table, self.n)
             self.filter = space.keep(words)
@@ -116,9 +123,9 @@ class KeyTable:
         return self._exact(self.df if self.filter is None else self._tested(True), "left_semi")
 
 
-def drop_rows(df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS) -> DataFrame:
-    return KeyTable(df, table, keys, few).drop()
+def drop_rows(df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS, small: int = 0) -> DataFrame:
+    return KeyTable(df, table, keys, few, small).drop()
 
 
-def keep_rows(df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS) -> DataFrame:
-    return KeyTable(df, table, keys, few).keep()
+def keep_rows(df: DataFrame, table: DataFrame, keys: Mapping[str, Column], few: int = FEW_KEYS, small: int = 0) -> DataFrame:
+    return KeyTable(df, table, keys, few, small).keep()

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.operators.bloom import drop_rows, keep_rows
+from tidesift.operators.bloom import SMALL_BYTES, drop_rows, keep_rows
 
 
 def union_by_name(*tables: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def _known(ids: DataFrame, key: str) -> DataFrame:
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "uid") -> DataFrame:
-    return keep_rows(df, _known(ids, key), {key: F.col(key)})
+    return keep_rows(df, _known(ids, key), {key: F.col(key)}, small=SMALL_BYTES)
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "uid") -> DataFrame:
-    return drop_rows(df, _known(ids, key), {key: F.col(key)})
+    return drop_rows(df, _known(ids, key), {key: F.col(key)}, small=SMALL_BYTES)
 
 
 def merge_left(df: DataFrame, other: DataFrame, value: str, fallback: str, out: str, key: str = "uid") -> DataFrame:
@@ -44,7 +44,7 @@ def attach_labels(df: DataFrame, other: DataFrame, label: str, key: str = "tweet
 
 def key_difference(a: DataFrame, b: DataFrame, key: str = "tweet_id") -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``."""
-    return drop_rows(a, _known(b, key), {key: F.col(key)})
+    return drop_rows(a, _known(b, key), {key: F.col(key)}, small=SMALL_BYTES)
 
 
 def append_missing(base: DataFrame, other: DataFrame, key: str = "tweet_id") -> DataFrame:
