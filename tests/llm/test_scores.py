@@ -19,7 +19,7 @@ from tidesift.llm.toxicity import N_FEATURES, Lexicon, _Tokens, features, fit_to
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LIMITS = Limits(min_words=3, line_texts=2, line_pct=20, left_words=2)
+LIMITS = Limits(min_words=3, line_texts=3, line_pct=20, left_words=2)
 
 
 def brute_rules(rows, limits):
@@ -38,7 +38,8 @@ def brute_rules(rows, limits):
     often = {
         hk: max(held.values(), key=lambda x: (x is not None, x))
         for hk, held in holders.items()
-        if len(held) > limits.line_texts and 100 * len(held) > limits.line_pct * len(texts[hk[0]])
+        if (len(held) >= limits.line_texts and 100 * len(held) > limits.line_pct * len(texts[hk[0]]))
+        or len(held) > limits.line_most
     }
     out = {}
     for i, text, host in rows:
@@ -85,20 +86,28 @@ def test_rules_against_brute_force(make_docs):
 
 
 def test_rules_at_production_limits(make_docs):
-    """A line goes above 100 texts and above 5 % of its host's texts, as op6's SQL states."""
+    """A line goes from 3 texts on above 5 % of its host's texts, or above 1,000 texts, as op6's SQL states."""
     line = " ".join(f"shared{k}" for k in range(200))
-    texts, hosts = [], []
-    for host, with_line, without in (("often", 101, 20), ("few", 100, 20), ("rare", 101, 1919)):
+    texts, hosts, lost = [], [], []
+    for host, with_line, without in (("often", 3, 40), ("few", 2, 20), ("rare", 3, 57), ("many", 1001, 19_100), ("fewer", 1000, 19_100)):
+        if host in ("often", "many"):
+            lost += range(len(texts), len(texts) + with_line - 1)
         for i in range(with_line + without):
-            own = " ".join(f"{host}{i}word{k}" for k in range(60))
+            own = " ".join(f"{host}{i}word{k}" for k in range(60 if i < with_line else 1))
             texts.append(f"{own}\n{line}" if i < with_line else own)
             hosts.append(host)
     got = judge(make_docs(texts, sources=hosts)).collect()
     want = brute_rules(list(zip(range(len(texts)), texts, hosts, strict=True)), Limits())
     assert {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in got} == {k[0]: v for k, v in want.items()}
-    lost = [r["doc_id"] for r in got if r["lost_words"] == 200]
-    assert sorted(lost) == list(range(100)) and all(not r["kept"] for r in got if r["doc_id"] in lost)
-    assert sum(r["lost_words"] > 0 for r in got) == 100
+    assert sorted(r["doc_id"] for r in got if r["lost_words"]) == lost
+    assert not any(r["kept"] for r in got if r["lost_words"])
+
+
+def test_rules_act_on_the_given_tables(spark):
+    """Lines go at the smallest size, too, and no long text is rejected for them."""
+    got = judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sum(r["lost_words"] > 0 for r in got) > 100
+    assert not any(r["n_words"] >= 50 and not r["base_failed"] and not r["kept"] for r in got)
 
 
 def test_rules_spare_copies(make_docs):

@@ -1,11 +1,12 @@
 """Quality rules with cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (stripped, A-Z lower-cased) and hashed. A line is
-boilerplate of its host when it stands in more distinct texts of that host than
-both limits allow. Exact copies of a text count once, so a group of copies does
-not condemn its own lines, and the document with the largest id that holds a
-line keeps it. A document is depleted, and rejected, when too few of its words
-are left without the boilerplate.
+boilerplate of its host when it stands in more than a share of the host's
+distinct texts (and in a few at least), or in more than a number that no host
+excuses. Exact copies of a text count once, so a group of copies does not condemn
+its own lines, and the document with the largest id that holds a line keeps it. A
+document is depleted, and rejected, when too few of its words are left without
+the boilerplate.
 
 Defined results
     null text      no words: ``base_failed``
@@ -37,8 +38,9 @@ class Limits:
 
     min_words: int = 50  # fewer words fail
     repeat_pct: int = 50  # more words in repeated windows fail
-    line_texts: int = 100  # a line of a host is boilerplate above this many texts …
-    line_pct: int = 5  # … and above this share of the host's texts
+    line_texts: int = 3  # a line of a host is boilerplate from this many texts on …
+    line_pct: int = 5  # … if that is above this share of the host's texts, …
+    line_most: int = 1000  # … and above this many texts in any host
     left_pct: int = 40  # a document with less of its words left is depleted
     left_words: int = 20  # … or with fewer words left, if it lost any
 
@@ -142,9 +144,10 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     counted = per_text.groupBy(_HOST, "line").agg(
         F.count(F.lit(1)).alias("n_texts"), F.max("top").alias("holder")
     )
-    often = counted.filter(F.col("n_texts") > limits.line_texts).alias("o")
+    often = counted.filter(F.col("n_texts") >= min(limits.line_texts, limits.line_most + 1)).alias("o")
     joined = often.join(hosts.alias("h"), F.col(f"o.{_HOST}").eqNullSafe(F.col(f"h.{_HOST}")))
-    return joined.filter(100 * F.col("n_texts") > limits.line_pct * F.col("host_texts")).select(
+    share = (F.col("n_texts") >= limits.line_texts) & (100 * F.col("n_texts") > limits.line_pct * F.col("host_texts"))
+    return joined.filter(share | (F.col("n_texts") > limits.line_most)).select(
         F.col(f"o.{_HOST}").alias("_f_host"), F.col("line").alias("_f_line"), "holder"
     )
 

@@ -48,7 +48,8 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l GROUP BY doc_id)
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM l GROUP BY source),
 often AS (
   SELECT l.source, k, max(doc_id) AS holder FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY l.source, k, n HAVING count(DISTINCT t) > 100 AND 100 * count(DISTINCT t) > 5 * n),
+  GROUP BY l.source, k, n
+  HAVING (count(DISTINCT t) >= 3 AND 100 * count(DISTINCT t) > 5 * n) OR count(DISTINCT t) > 1000),
 lost AS (
   SELECT doc_id, sum(len(regexp_extract_all(k, {_WORD_SQL}))) AS n
   FROM (SELECT DISTINCT l.doc_id, l.k FROM l JOIN often o
