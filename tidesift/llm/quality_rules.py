@@ -8,10 +8,15 @@ its own lines, and the document with the largest id that holds a line keeps it.
 document is depleted, and rejected, when too few of its words are left without
 the boilerplate.
 
+Texts are read once: a narrow table keeps every document's counts and, as pairs
+of hash and word count, its distinct lines; all else reads that table.
+
 Defined results
     null text      no words: ``base_failed``
     null host      a host of its own
     equal ids      every row is judged by its own text
+    equal rows     one text, so their lines count once; all get the same verdict
+    ties           of copies of one text with equal ids, all keep the line
     long texts     read whole; a line is a hash and a word count when shuffled
     empty table    an empty result
 """
@@ -54,8 +59,7 @@ def _words(text: Column) -> Column:
 def _windows(words: Column) -> Column:
     """One hash per window of three words."""
     n = F.greatest(F.size(words) - 2, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 2, n), F.slice(words, 3, n), lambda b, c: F.xxhash64(b, c))
-    return F.zip_with(F.slice(words, 1, n), pairs, lambda a, rest: F.xxhash64(a, rest))
+    return F.transform(F.slice(words, 1, n), lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def _in_repeats(windows: Column) -> Column:
@@ -83,28 +87,33 @@ def _in_repeats(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == n, F.lit(0).cast("long")).otherwise(covered)
 
 
-def base_signals(docs: DataFrame, id_column: str, text_column: str, host_column: str, limits: Limits) -> DataFrame:
-    """Row-local counts of every document."""
+def document_rows(docs: DataFrame, id_column: str, text_column: str, host_column: str, limits: Limits) -> DataFrame:
+    """One row per document: id, host, text hash, counts, and its distinct non-blank lines as (hash, words)."""
     text = F.col("_q_text")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     rows = docs.select(
         id_of(id_column).alias(_ID),
         F.col(host_column).cast("string").alias(_HOST),
         text_of(text_column).alias("_q_text"),
     )
-    rows = rows.select(_ID, _HOST, "_q_text", once(_words(text)).alias("_q_words"))
-    rows = rows.select(_ID, _HOST, "_q_text", "_q_words", once(_windows(F.col("_q_words"))).alias("_q_win"))
-    rows = rows.select(_ID, _HOST, "_q_text", "_q_words", "_q_win", once(lines).alias("_q_lines"))
-    n_words = F.size("_q_words").cast("long")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+    rows = rows.withColumn("_q_words", once(_words(text)))
+    rows = rows.withColumn("_q_win", once(_windows(F.col("_q_words"))))
+    rows = rows.withColumn("_q_lines", once(lines))
+
+    def hashed(line: Column) -> Column:
+        key = F.btrim(line, F.lit(BLANKS))
+        return F.struct(F.xxhash64(ascii_lower(key)).alias("line"), F.size(F.split(key, SPLIT)).alias("words"))
+
     counted = rows.select(
         _ID,
         _HOST,
         F.xxhash64(text).alias(_TXT),
-        n_words.alias("n_words"),
+        F.size("_q_words").cast("long").alias("n_words"),
         F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, NO_SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         _in_repeats(F.col("_q_win")).alias("n_repeat_words"),
+        F.array_distinct(F.transform("_q_lines", hashed)).alias("_q_keys"),
     )
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.repeat_pct * F.col("n_words")
@@ -112,26 +121,6 @@ def base_signals(docs: DataFrame, id_column: str, text_column: str, host_column:
     return counted.withColumn("base_failed", failed)
 
 
-def line_rows(docs: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
-    """One row per distinct non-blank line of a document: host, text hash, line hash, words of the line."""
-    text = text_of(text_column)
-    keys = F.filter(
-        F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""
-    )
-    pairs = F.transform(
-        keys,
-        lambda x: F.struct(
-            F.xxhash64(ascii_lower(x)).alias("line"), F.size(F.split(x, SPLIT)).alias("words")
-        ),
-    )
-    return docs.select(
-        id_of(id_column).alias(_ID),
-        F.col(host_column).cast("string").alias(_HOST),
-        F.xxhash64(text).alias(_TXT),
-        F.inline(F.array_distinct(pairs)),
-    )
-
-
 def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     """(host, line, holder): lines above the limits of their host, and the largest id that holds them.
 
@@ -161,7 +150,8 @@ def judge(
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``lost_words`` and ``kept``."""
     space = Workspace(docs.sparkSession, "quality-rules")
-    lines = line_rows(docs, id_column, text_column, host_column)
+    rows = space.keep(document_rows(docs, id_column, text_column, host_column, limits))
+    lines = rows.select(_ID, _HOST, _TXT, F.inline("_q_keys"))
     often = space.keep(frequent_lines(lines, limits))
     match = F.col(_HOST).eqNullSafe(F.col("_f_host")) & (F.col("line") == F.col("_f_line"))
     document = [F.col(_ID).alias("_l_id"), F.col(_TXT).alias("_l_txt"), F.col(_HOST).alias("_l_host")]
@@ -173,8 +163,7 @@ def judge(
         .groupBy("_l_id", "_l_txt", "_l_host")
         .agg(F.sum("words").alias("lost"))
     )
-    signals = base_signals(docs, id_column, text_column, host_column, limits)
-    joined = signals.join(
+    joined = rows.drop("_q_keys").join(
         lost,
         (F.col(_ID) == F.col("_l_id"))
         & (F.col(_TXT) == F.col("_l_txt"))
