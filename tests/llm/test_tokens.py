@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +18,8 @@ from tidesift.llm.byte_tokens import ByteEncoder, byte_of_char, token_bytes
 from tidesift.llm.configuration_lp import best_fit, pack_histogram, price
 from tidesift.llm.packing import cut, locate, pack, slots
 from tidesift.llm.piece_counts import count_tokens, load
-from tidesift.llm.repair import compress
-from tidesift.llm.token_files import grammar_of, new_path, read_tokens, write_tokens
+from tidesift.llm.repair import compress, pack_bits, unpack_bits
+from tidesift.llm.token_files import grammar_of, new_path, read_documents, read_tokens, write_tokens
 from tidesift.llm.word_bpe import WordEncoder, encode_texts, round_trip_digests
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,9 +117,14 @@ def test_piece_counts(spark, sf_dir, odd_docs):
 def test_grammar_round_trip(size, kinds):
     rng = np.random.default_rng(size)
     ids = rng.integers(0, kinds, size).astype(np.uint32)
-    grammar = compress(ids, 50_257, rounds=5, most=20, least=2)
+    grammar = compress(ids, 50_257, most=20, least=2)
     assert grammar.decode().tolist() == ids.tolist()
-    assert size < 500 or len(grammar.symbols) < size
+    left = Counter(zip(grammar.symbols[:-1].tolist(), grammar.symbols[1:].tolist(), strict=True))
+    assert not left or max(left.values()) < 2
+    for rule, length in zip(grammar.rules.tolist(), grammar.sizes.tolist(), strict=True):
+        assert length == sum(1 if x < grammar.base else grammar.sizes[x - grammar.base] for x in rule)
+    width = (grammar.base + len(grammar.rules)).bit_length()
+    assert unpack_bits(pack_bits(grammar.symbols, width), len(grammar.symbols), width).tolist() == grammar.symbols.tolist()
     ends = grammar.ends()
     for _ in range(20):
         a, b = sorted(rng.integers(0, size + 1, 2).tolist())
@@ -140,11 +146,15 @@ def test_token_files(spark, odd_docs, monkeypatch):
             start += len(ids)
         for row in spark.read.parquet(path).collect():
             sizes = np.frombuffer(row["doc_sizes"], "<i8")
-            grammar = grammar_of(row["wide"], row["rules"], row["symbols"])
+            grammar = grammar_of(*[row[c] for c in token_files._GRAMMAR])
             at = int(sizes[:-1].sum())
             assert grammar.decode(at, at + int(sizes[-1])).tolist() == grammar.decode()[at:].tolist()
+        wanted = [None, 4, 5, 10**9]
+        some = {(r["doc_id"], tuple(r["ids"])) for r in read_documents(spark, path, wanted).collect()}
+        assert some == {(r["doc_id"], tuple(r["ids"])) for r in got if r["doc_id"] in wanted} and len(some) > 1
     path = new_path(spark)
     write_tokens(odd_docs.limit(0), path, BYTES)
+    assert read_documents(spark, path, [1, None]).count() == 0
     assert read_tokens(spark, path).count() == 0
 
 

@@ -1,9 +1,15 @@
 """Re-Pair grammar compression of a shard of ids, in numpy.
 
 Each round counts all adjacent pairs, gives the most frequent ones a
-nonterminal each and replaces their occurrences from left to right. The grammar
-is (rules, symbols); expansion lengths allow any range of the shard to be
-decoded without the rest.
+nonterminal each and replaces their occurrences from left to right, until no
+pair occurs ``LEAST_PAIRS`` times. The grammar is (rules, symbols, sizes); the
+sizes are the ids each rule expands to, so any range of the shard is decoded
+without the rest.
+
+Defined results
+    ties        pairs of equal count are taken in ascending order
+    no ids      a grammar without rules and symbols
+    repeats     a run of one id halves with every round
 """
 
 from __future__ import annotations
@@ -12,16 +18,26 @@ from dataclasses import dataclass
 
 import numpy as np
 
-ROUNDS = 3
-RULES_PER_ROUND = 4096
+RULES_PER_ROUND = 16_384
 LEAST_PAIRS = 4
+_BUCKET_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs, ascending."""
-    if not len(pairs):
-        return pairs
-    ordered = np.sort(pairs)
+def _buckets(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * _MIX) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+
+
+def _frequent(pairs: np.ndarray, bucket: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The most frequent pairs, ascending.
+
+    Pairs whose hash bucket holds fewer than ``least`` are rare for certain;
+    only the others are sorted and counted.
+    """
+    crowded = np.bincount(bucket, minlength=1 << _BUCKET_BITS) >= least
+    ordered = np.sort(pairs[crowded[bucket]])
+    if not len(ordered):
+        return ordered
     heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     counts = np.diff(np.r_[heads, len(ordered)])
     good = np.flatnonzero(counts >= least)
@@ -31,37 +47,22 @@ def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
     return np.sort(ordered[heads[good]])
 
 
-def _paired(seq: np.ndarray, half: int) -> np.ndarray:
-    """Adjacent pairs as one number each; narrow numbers sort faster."""
-    kind = np.uint32 if half == 16 else np.uint64
-    return (seq[:-1].astype(kind) << kind(half)) | seq[1:]
-
-
-def _halves(pairs: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    wide = pairs.astype(np.int64)
-    return wide >> half, wide & ((1 << half) - 1)
-
-
-def _replace(seq: np.ndarray, pairs: np.ndarray, top: np.ndarray, base: int, half: int) -> np.ndarray:
-    left = np.zeros(int(seq.max()) + 1, dtype=bool)
-    right = left.copy()
-    first, second = _halves(top, half)
-    left[first] = True
-    right[second] = True
-    maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
+def _replace(seq: np.ndarray, pairs: np.ndarray, bucket: np.ndarray, top: np.ndarray, first: int) -> np.ndarray:
+    """The sequence with the i-th pair of ``top`` replaced by symbol ``first + i``."""
+    wanted = np.zeros(1 << _BUCKET_BITS, dtype=bool)
+    wanted[_buckets(top)] = True
+    maybe = np.flatnonzero(wanted[bucket])
     rule = np.searchsorted(top, pairs[maybe])
     rule[rule == len(top)] = 0
     hit = top[rule] == pairs[maybe]
     at, rule = maybe[hit], rule[hit]
-    if not len(at):
-        return seq
     # in a run of overlapping hits every other one is replaced, from the left
     heads = np.r_[True, np.diff(at) != 1]
     index = np.arange(len(at))
     even = (index - np.maximum.accumulate(np.where(heads, index, 0))) % 2 == 0
     at, rule = at[even], rule[even]
     out = seq.copy()
-    out[at] = base + rule
+    out[at] = first + rule
     stay = np.ones(len(seq), dtype=bool)
     stay[at + 1] = False
     return out[stay]
@@ -71,55 +72,71 @@ def _replace(seq: np.ndarray, pairs: np.ndarray, top: np.ndarray, base: int, hal
 class Grammar:
     base: int  # symbols below are ids
     rules: np.ndarray  # (n, 2): what nonterminal base + i stands for
+    sizes: np.ndarray  # ids that each rule expands to
     symbols: np.ndarray
 
-    def lengths(self) -> np.ndarray:
-        """Ids that each rule expands to."""
-        out = np.ones(len(self.rules), dtype=np.int64)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            out[i] = (1 if a < self.base else out[a - self.base]) + (1 if b < self.base else out[b - self.base])
-        return out
+    def _widths(self, symbols: np.ndarray) -> np.ndarray:
+        width = np.ones(len(symbols), dtype=np.int64)
+        inner = symbols >= self.base
+        width[inner] = self.sizes[symbols[inner] - self.base]
+        return width
 
     def ends(self) -> np.ndarray:
         """Position in the shard at which each symbol's expansion ends."""
-        sizes = np.r_[np.ones(self.base, dtype=np.int64), self.lengths()]
-        return np.cumsum(sizes[self.symbols])
+        return np.cumsum(self._widths(self.symbols))
 
     def decode(self, start: int = 0, stop: int | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """The ids of the shard, or of a range of it."""
-        seq, skip, size = self.symbols.astype(np.uint32), 0, None
-        if stop is not None:
-            ends = self.ends() if ends is None else ends
-            a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-            seq, skip, size = seq[a:b], start - (int(ends[a - 1]) if a else 0), stop - start
-            if size <= 0:
-                return np.zeros(0, dtype=np.uint32)
-        while len(seq):
-            inner = seq >= self.base
-            if not inner.any():
-                break
-            end = np.cumsum(1 + inner)
-            out = np.empty(int(end[-1]), dtype=np.uint32)
-            out[end[~inner] - 1] = seq[~inner]
-            pair = self.rules[seq[inner] - self.base]
-            out[end[inner] - 2] = pair[:, 0]
-            out[end[inner] - 1] = pair[:, 1]
-            seq = out
-        return seq if size is None else seq[skip : skip + size]
-
-
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, most: int = RULES_PER_ROUND, least: int = LEAST_PAIRS) -> Grammar:
-    """The grammar of a shard; ids must be below ``base``."""
-    half = 16 if base + rounds * most <= 2**16 else 32
-    seq = ids.astype(np.uint16 if half == 16 else np.uint32)
-    rules = np.zeros((0, 2), dtype=np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs = _paired(seq, half)
-        top = _frequent(pairs, most, least)
+        """The ids of the shard, or of a range of it.
+
+        Every symbol's place in the output is known from the sizes, so a step
+        touches only nonterminals that are still to be expanded.
+        """
+        ends = self.ends() if ends is None else ends
+        stop = (int(ends[-1]) if len(ends) else 0) if stop is None else stop
+        if stop <= start:
+            return np.zeros(0, dtype=np.uint32)
+        a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
+        symbols = self.symbols[a:b].astype(np.int64)
+        origin = int(ends[a - 1]) if a else 0
+        places = np.r_[origin, ends[a : b - 1]] - origin
+        out = np.empty(int(ends[b - 1]) - origin, dtype=np.uint32)
+        while len(symbols):
+            inner = symbols >= self.base
+            out[places[~inner]] = symbols[~inner]
+            places, pair = places[inner], self.rules[symbols[inner] - self.base]
+            places = np.concatenate([places, places + self._widths(pair[:, 0])])
+            symbols = np.concatenate([pair[:, 0], pair[:, 1]])
+        return out[start - origin : stop - origin]
+
+
+def compress(ids: np.ndarray, base: int, most: int = RULES_PER_ROUND, least: int = LEAST_PAIRS) -> Grammar:
+    """The grammar of a shard; ids must be below ``base``, ``least`` at least 2."""
+    seq = ids.astype(np.uint32)
+    rules, sizes, n = [np.zeros((0, 2), dtype=np.int64)], np.ones(base, dtype=np.int64), base
+    while len(seq) > 1:
+        wide = seq.astype(np.uint64)
+        pairs = (wide[:-1] << np.uint64(32)) | wide[1:]
+        bucket = _buckets(pairs)
+        top = _frequent(pairs, bucket, most, least)
         if not len(top):
             break
-        seq = _replace(seq, pairs, top, base + len(rules), half)
-        rules = np.concatenate([rules, np.stack(_halves(top, half), axis=1)])
-    return Grammar(base, rules, seq)
+        halves = np.stack([top >> np.uint64(32), top & np.uint64(2**32 - 1)], axis=1).astype(np.int64)
+        seq = _replace(seq, pairs, bucket, top, n)
+        rules.append(halves)
+        sizes = np.concatenate([sizes, sizes[halves].sum(axis=1)])
+        n += len(halves)
+    return Grammar(base, np.concatenate(rules), sizes[base:], seq)
+
+
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """Numbers below ``2 ** width`` as ``width`` bit planes."""
+    return b"".join(np.packbits((values >> bit) & 1 == 1).tobytes() for bit in range(width))
+
+
+def unpack_bits(raw: bytes, n: int, width: int) -> np.ndarray:
+    """The inverse of ``pack_bits``."""
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros(n, dtype=np.uint32)
+    for bit, plane in enumerate(planes):
+        out |= np.unpackbits(plane, count=n).astype(np.uint32) << np.uint32(bit)
+    return out

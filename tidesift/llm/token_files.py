@@ -2,15 +2,16 @@
 
 Documents are range-partitioned and sorted by id, tokenized in that order and
 cut at document ends into shards of about ``SHARD_IDS`` ids; each shard is one
-row of a Parquet file: grammar, symbols, and the documents' ids and lengths.
-Spark commits the files, so lost executors leave no half-written shard, and any
-store that Spark writes will do. A reader gets one document by its range in the
-shard and the expansion lengths.
+row of a Parquet file: rules with their expansion lengths, symbols in as many bits
+as the largest needs, and the documents' ids and lengths. Spark commits the files, so
+lost executors leave no half-written shard, and any store that Spark writes will
+do. ``read_tokens`` reads all documents, ``read_documents`` some: of their shards it
+expands only the symbols that the expansion lengths point to.
 
 Defined results
     null text      an empty document: its end id alone
     null doc_id    before all others
-    equal ids      ordered by text
+    equal ids      ordered by a hash of the text, then the text; they may lie in several tasks
     long texts     one document is never cut: a longer one is a shard of its own
     empty table    no shard; reading gives no rows
 """
@@ -29,32 +30,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidesift.llm.byte_tokens import byte_encoder
-from tidesift.llm.common import as_id, id_of, text_of
-from tidesift.llm.repair import Grammar, compress
+from tidesift.llm.common import NO_ID, as_id, id_of, text_of
+from tidesift.llm.repair import Grammar, compress, pack_bits, unpack_bits
 from tidesift.session import checkpoint_dir
 
 SHARD_IDS = 2_000_000
 END_ID = 2
 BASE = 50_257  # ids of the vocabulary are smaller
-_SHARDS = "part int, block int, n_ids long, doc_ids binary, doc_sizes binary, wide boolean, rules binary, symbols binary"
+_GRAMMAR = ["n_symbols", "width", "rules", "rule_sizes", "symbols"]
+_SHARDS = "part int, block int, n_ids long, doc_ids binary, doc_sizes binary, n_symbols int, width int, rules binary, rule_sizes binary, symbols binary"
 
 
 def _shard(part: int, block: int, doc_ids: list[int], parts: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), dtype="<u4")
     grammar = compress(ids, BASE)
-    wide = BASE + len(grammar.rules) > 2**16
+    width = (BASE + len(grammar.rules) - 1).bit_length()
     values = [
         part,
         block,
         len(ids),
         np.array(doc_ids, dtype="<i8").tobytes(),
         np.array([len(p) // 4 for p in parts], dtype="<i8").tobytes(),
-        wide,
+        len(grammar.symbols),
+        width,
         grammar.rules.astype("<u4").tobytes(),
-        grammar.symbols.astype("<u4" if wide else "<u2").tobytes(),
+        grammar.sizes.astype("<u4").tobytes(),
+        pack_bits(grammar.symbols, width),
     ]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
-    names = ["part", "block", "n_ids", "doc_ids", "doc_sizes", "wide", "rules", "symbols"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["part", "block", "n_ids", "doc_ids", "doc_sizes", *_GRAMMAR]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
 
@@ -87,19 +91,46 @@ def write_tokens(
 ) -> None:
     """Write all documents' ids, each followed by ``end_id``."""
     narrow = docs.select(id_of(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda b: _shards(b, vocabulary, end_id, shard_ids), _SHARDS).write.parquet(path)
+    # by the text, too, as a third of all rows may have one id, or none
+    keyed = narrow.withColumn("hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(lambda b: _shards(b, vocabulary, end_id, shard_ids), _SHARDS).write.parquet(path)
 
 
-def grammar_of(wide: bool, rules: bytes, symbols: bytes) -> Grammar:
+def grammar_of(n_symbols: int, width: int, rules: bytes, rule_sizes: bytes, symbols: bytes) -> Grammar:
     pairs = np.frombuffer(rules, dtype="<u4").astype(np.int64).reshape(-1, 2)
-    return Grammar(BASE, pairs, np.frombuffer(symbols, dtype="<u4" if wide else "<u2"))
+    sizes = np.frombuffer(rule_sizes, dtype="<u4").astype(np.int64)
+    return Grammar(BASE, pairs, sizes, unpack_bits(symbols, n_symbols, width))
+
+
+def _some_documents(batches: Iterator[pa.RecordBatch], wanted: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            doc_ids, sizes = np.frombuffer(row["doc_ids"], dtype="<i8"), np.frombuffer(row["doc_sizes"], dtype="<i8")
+            at = np.flatnonzero(np.isin(doc_ids, wanted))
+            if not len(at):
+                continue
+            grammar, stops = grammar_of(*[row[c] for c in _GRAMMAR]), np.cumsum(sizes)
+            ends = grammar.ends()
+            found = [grammar.decode(int(stops[i] - sizes[i]), int(stops[i]), ends).astype(np.int32) for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids[at]), pa.array(sizes[at]), pa.array(found, pa.list_(pa.int32()))],
+                names=["doc_id", "n_tokens", "ids"],
+            )
+
+
+def read_documents(spark: SparkSession, path: str, wanted: list[int | None], id_column: str = "doc_id") -> DataFrame:
+    """The documents with the ids asked for, null for those without one: n_tokens and ids; unknown ids give no row."""
+    ids = [NO_ID if i is None else i for i in wanted]
+    rows = spark.read.schema(_SHARDS).parquet(path).select("doc_ids", "doc_sizes", *_GRAMMAR)
+    rows = rows.mapInArrow(lambda b: _some_documents(b, ids), "doc_id long, n_tokens long, ids array<int>")
+    return rows.select(as_id(F.col("doc_id")).alias(id_column), "n_tokens", "ids")
 
 
 def _documents(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = grammar_of(row["wide"], row["rules"], row["symbols"]).decode().astype("<u4")
+            ids = grammar_of(*[row[c] for c in _GRAMMAR]).decode().astype("<u4")
             doc_ids = np.frombuffer(row["doc_ids"], dtype="<i8")
             sizes = np.frombuffer(row["doc_sizes"], dtype="<i8")
             starts = np.cumsum(sizes) - sizes
@@ -127,7 +158,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True, id_column
     files = spark.read.schema(_SHARDS).parquet(path)
     kinds = "doc_id long, part int, block int, inside long, n_tokens long, ids_crc32 long"
     kinds += ", ids array<int>" if with_ids else ""
-    rows = files.select("part", "block", "doc_ids", "doc_sizes", "wide", "rules", "symbols")
+    rows = files.select("part", "block", "doc_ids", "doc_sizes", *_GRAMMAR)
     rows = rows.mapInArrow(lambda b: _documents(b, with_ids), kinds)
 
     # the order of shards: parts are few, so their totals fit one window; blocks stay in their part
