@@ -188,10 +188,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 heads = sum(map(is_head, seen))
                 out["known"].append(heads + (counts.ends > 0))
                 rest = heads < len(words)
-                out["rest"].append([(w, s[4]) for w, s in zip(words, seen, strict=True) if not s[3]] if rest else [])
+                # a word once per text, so that the join needs no aggregation before it
+                other = Counter((w, s[4]) for w, s in zip(words, seen, strict=True) if not s[3]) if rest else {}
+                out["rest"].append([(w, unseen, times) for (w, unseen), times in other.items()])
                 row += 1
-            other = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float64())]))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), other]
+            rare = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float64()), ("times", pa.int64())]))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), rare]
             columns = [piece.column(0), piece.column(1)]
             columns += [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", *out])
@@ -274,7 +276,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shared = broadcast_of(spark, found)
 
     kinds = "doc_id long, held_out boolean, rid long, n_tokens long, units binary, base double, within double, known long, "
-    kinds += "rest array<struct<word: binary, unseen: double>>"
+    kinds += "rest array<struct<word: binary, unseen: double, times: long>>"
     encoded = space.keep(narrow.mapInArrow(lambda b: _encoded(b, shared), kinds))
     model = spark.sparkContext.broadcast(train(encoded, found.unit_counts).flat())
     scored = encoded.select("rid", "units").mapInArrow(lambda b: _unit_scores(b, model), "rid long, unit_score double")
@@ -288,7 +290,6 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "word", "n", (F.log10(F.col("n") + 0.5)).alias("log_n"), F.log10((F.col("n") - F.col("discount")) / F.nullif(F.col("cls_n"), F.lit(0.0))).alias("share")
     )
     rest = encoded.filter(F.size("rest") > 0).select("rid", F.inline("rest"))
-    rest = rest.groupBy("rid", "word", "unseen").agg(F.count(F.lit(1)).alias("times"))
     known = F.col("n").isNotNull()
     sums = (
         rest.join(shares, "word", "left")
