@@ -28,8 +28,8 @@ def _buckets(pairs: np.ndarray) -> np.ndarray:
     return ((pairs * _MIX) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
 
 
-def _frequent(pairs: np.ndarray, bucket: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pairs, ascending.
+def _frequent(pairs: np.ndarray, bucket: np.ndarray, most: int, least: int) -> tuple[np.ndarray, bool]:
+    """The most frequent pairs, ascending, and whether these are all that are frequent.
 
     Pairs whose hash bucket holds fewer than ``least`` are rare for certain;
     only the others are sorted and counted.
@@ -37,32 +37,44 @@ def _frequent(pairs: np.ndarray, bucket: np.ndarray, most: int, least: int) -> n
     crowded = np.bincount(bucket, minlength=1 << _BUCKET_BITS) >= least
     ordered = np.sort(pairs[crowded[bucket]])
     if not len(ordered):
-        return ordered
+        return ordered, True
     heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     counts = np.diff(np.r_[heads, len(ordered)])
     good = np.flatnonzero(counts >= least)
-    if len(good) > most:
+    whole = len(good) <= most
+    if not whole:
         # ties by the pair itself, so that equal shards give equal files
         good = good[np.lexsort((heads[good], -counts[good]))[:most]]
-    return np.sort(ordered[heads[good]])
-
-
-def _replace(seq: np.ndarray, pairs: np.ndarray, bucket: np.ndarray, top: np.ndarray, first: int) -> np.ndarray:
-    """The sequence with the i-th pair of ``top`` replaced by symbol ``first + i``."""
-    wanted = np.zeros(1 << _BUCKET_BITS, dtype=bool)
-    wanted[_buckets(top)] = True
-    maybe = np.flatnonzero(wanted[bucket])
-    rule = np.searchsorted(top, pairs[maybe])
-    rule[rule == len(top)] = 0
-    hit = top[rule] == pairs[maybe]
-    at, rule = maybe[hit], rule[hit]
+    return np.sort(ordered[heads[good]]), whole
+
+
+def _found(pairs: np.ndarray, bucket: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs that are in ``top``, and where there.
+
+    A bucket names one pair of ``top``; only where that is another one, the
+    sorted pairs are searched.
+    """
+    named = np.full(1 << _BUCKET_BITS, -1, dtype=np.int32)
+    named[_buckets(top)] = np.arange(len(top), dtype=np.int32)
+    rule = named[bucket]
+    at = np.flatnonzero(rule >= 0)
+    rule, pairs = rule[at], pairs[at]
+    other = np.flatnonzero(top[rule] != pairs)
+    rule[other] = np.minimum(np.searchsorted(top, pairs[other]), len(top) - 1)
+    hit = np.ones(len(at), dtype=bool)
+    hit[other] = top[rule[other]] == pairs[other]
+    return at[hit], rule[hit]
+
+
+def _replace(seq: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The sequence with the pairs that begin at ``at`` replaced by ``symbols``."""
     # in a run of overlapping hits every other one is replaced, from the left
     heads = np.r_[True, np.diff(at) != 1]
     index = np.arange(len(at))
     even = (index - np.maximum.accumulate(np.where(heads, index, 0))) % 2 == 0
-    at, rule = at[even], rule[even]
+    at, symbols = at[even], symbols[even]
     out = seq.copy()
-    out[at] = first + rule
+    out[at] = symbols
     stay = np.ones(len(seq), dtype=bool)
     stay[at + 1] = False
     return out[stay]
@@ -110,20 +122,33 @@ class Grammar:
 
 
 def compress(ids: np.ndarray, base: int, most: int = RULES_PER_ROUND, least: int = LEAST_PAIRS) -> Grammar:
-    """The grammar of a shard; ids must be below ``base``, ``least`` at least 2."""
+    """The grammar of a shard; ids must be below ``base``, ``least`` at least 2.
+
+    A round replaces or breaks up every occurrence of the pairs it takes. Once
+    it takes all frequent ones, a frequent pair of the next round holds a symbol
+    that this one made, so only the pairs around those are counted.
+    """
     seq = ids.astype(np.uint32)
     rules, sizes, n = [np.zeros((0, 2), dtype=np.int64)], np.ones(base, dtype=np.int64), base
+    fresh = 0  # symbols from here on may be in frequent pairs
     while len(seq) > 1:
-        wide = seq.astype(np.uint64)
-        pairs = (wide[:-1] << np.uint64(32)) | wide[1:]
+        if fresh:
+            new = seq >= fresh
+            places = np.flatnonzero(new[:-1] | new[1:])
+            pairs = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+        else:
+            pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         bucket = _buckets(pairs)
-        top = _frequent(pairs, bucket, most, least)
+        top, whole = _frequent(pairs, bucket, most, least)
         if not len(top):
             break
+        at, rule = _found(pairs, bucket, top)
+        seq = _replace(seq, places[at] if fresh else at, (n + rule).astype(np.uint32))
         halves = np.stack([top >> np.uint64(32), top & np.uint64(2**32 - 1)], axis=1).astype(np.int64)
-        seq = _replace(seq, pairs, bucket, top, n)
         rules.append(halves)
         sizes = np.concatenate([sizes, sizes[halves].sum(axis=1)])
+        # pairs left over keep their places among the fresh symbols
+        fresh = n if whole else fresh
         n += len(halves)
     return Grammar(base, np.concatenate(rules), sizes[base:], seq)
 
