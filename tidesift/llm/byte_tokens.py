@@ -1,24 +1,26 @@
 """Byte-level BPE ids of whole texts, as the tokenizers library gives them.
 
-A text is cut at single spaces that stand between non-blank characters. The
-vocabulary's split pattern never joins characters across such a cut, so the ids
-of a piece do not depend on its neighbours and a per-process cache of pieces
-saves most of the work. Unseen pieces go through tiktoken with the ranks of the
-same vocabulary; pieces with characters beyond the Latin blocks, where the two
-libraries' character tables might differ, go through tokenizers itself. A text
-that has other blanks beside a space is encoded as a whole.
+Texts of Latin characters go whole through tiktoken, with the ranks of the same
+vocabulary and straight into an array. Where characters lie beyond the Latin
+blocks, the two libraries' character tables might differ. Such a text is cut at
+single spaces between non-blank characters, across which the vocabulary's split
+pattern never joins; so the ids of a piece do not depend on its neighbours.
+Pieces beyond the Latin blocks go through tokenizers itself, and a per-process
+cache saves repeated ones. If such a text has other blanks beside a space, it is
+encoded as a whole by tokenizers.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from struct import pack
 
 from tidesift.llm.common import per_process
 
 CACHED_PIECES = 500_000  # then the cache starts anew
-LATIN_END = "ɐ"
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -81,22 +83,24 @@ class ByteEncoder:
         self.exact.no_padding()
         self.pieces = _Pieces(self._ids)
 
+    def _latin(self, text: str) -> bytes:
+        for special in self.specials:
+            if special in text:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
     def _ids(self, text: str) -> bytes:
-        if text.isascii() or max(text) < LATIN_END:
-            for special in self.specials:
-                if special in text:
-                    ids = self.fast.encode(text, allowed_special="all")
-                    break
-            else:
-                ids = self.fast.encode_ordinary(text)
-        else:
-            ids = self.exact.encode(text, add_special_tokens=False).ids
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            return self._latin(text)
+        ids = self.exact.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit bytes."""
         if not text:
             return b""
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            return self._latin(text)
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return self._ids(text)
