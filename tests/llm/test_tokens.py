@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tidesift.llm import token_files
 from tidesift.llm.byte_tokens import ByteEncoder, byte_of_char, token_bytes
-from tidesift.llm.configuration_lp import best_fit, pack_histogram, price
+from tidesift.llm.configuration_lp import best_fit, cover_histogram, pack_histogram, price, solve
 from tidesift.llm.packing import cut, locate, pack, slots
 from tidesift.llm.piece_counts import count_tokens, load
 from tidesift.llm.repair import compress, pack_bits, unpack_bits
@@ -182,6 +182,26 @@ def test_packed_histogram_is_exact(seed):
     assert all((row[: row.sum()] == 1).all() for row in used)
 
 
+@pytest.mark.parametrize("most", [3, 40, 3000])
+def test_linear_program_places_nearly_all(most):
+    rng = np.random.default_rng(most)
+    lengths = np.arange(1, 201)
+    counts = rng.integers(1, most + 1, len(lengths))
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    groups, rest = cover_histogram(histogram, 200)
+    assert sum(rest.values()) < 0.05 * counts.sum()
+    packed = groups + best_fit(rest, 200)
+    assert sum(c for c, _ in packed) <= sum(c for c, _ in best_fit(histogram, 200)) * 1.01 + 1
+    chosen, covered, bound = solve(lengths, counts, 200)
+    held = np.zeros(len(lengths))
+    for config, amount in chosen.items():
+        assert sum(int(lengths[i]) * times for i, times in config) <= 200
+        for i, times in config:
+            held[i] += amount * times
+    assert np.allclose(held, covered * counts)
+    assert bound <= sum(c for c, _ in packed)
+
+
 def test_price_finds_the_heaviest():
     lengths = np.array([3, 5, 7])
     found = price(np.array([3.0, 5.5, 7.0]), lengths, 16)
