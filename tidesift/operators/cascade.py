@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -117,8 +117,12 @@ def fit_binary(
     Returns the best model and the metric history.
     """
     numbered = F.col(label).cast("double")
-    train = _features(train, text).withColumn("_label", numbered).filter(F.col("_label").isNotNull()).cache()
-    validation = _features(validation, text).cache()
+    hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=num_features)
+    # hashed once for all passes and candidates; counts of grams are smaller than the grams
+    weights = [weight] if weight else []
+    train = hashing.transform(_features(train.withColumn("_label", numbered).filter(F.col("_label").isNotNull()), text))
+    train = train.select("_label", "_features", *weights).cache()
+    validation = hashing.transform(_features(validation, text)).select(label, "_features").cache()
     best, best_recall, misses, history = None, 0.0, 0, []
     try:
         for params in candidates:
@@ -126,13 +130,12 @@ def fit_binary(
             if weight:
                 settings["weightCol"] = weight
             classifier = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=20, **settings)
-            hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=num_features)
-            model = Pipeline(stages=[hashing, classifier]).fit(train)
+            model = classifier.fit(train)
             scored = model.transform(validation).withColumn("predicted", F.col("prediction").cast("int"))
             metrics = binary_metrics(scored, label).first().asDict()
             history.append({**params, **metrics})
             if metrics["macro_recall"] > best_recall:
-                best, best_recall, misses = model, metrics["macro_recall"], 0
+                best, best_recall, misses = PipelineModel(stages=[hashing, model]), metrics["macro_recall"], 0
             else:
                 misses += 1
                 if misses >= patience:
