@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidesift.functions import fixed_values as fixed
 from tidesift.functions import text as tx
 from tidesift.operators import clean, labels
+from tidesift.operators.profile import bag_of_ngrams
 
 
 def one(spark, column):
@@ -165,3 +166,56 @@ def test_min_words(spark, n):
     df = spark.createDataFrame([(t,) for t in texts], "tweet_text string")
     kept = [r[0] for r in clean.min_words(df, n=n).collect()]
     assert kept == [t for t in texts if t is not None and len(t.split()) >= n]
+
+
+def test_any_of_finds_every_key(spark):
+    for table in (fixed.EMOTICONS, fixed.ABBREVIATIONS, fixed.EMOJI_NAMES, dict(fixed.CONTRACTION_RULES), {"^]": "a", "[-": "b", "&&é": "c", "😀x": "d"}):
+        keys = list(table)
+        texts = [f"zz{key}zz" for key in keys] + ["", "zz", "é😺漢".replace("😺", "") + "!"]
+        found = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(tx._any_of(keys))).collect()
+        assert [r[0] for r in found] == [any(k in t for k in keys) for t in texts]
+
+
+def test_replace_all_is_key_after_key(spark):
+    def plain(text, table):
+        for key in sorted(table, key=len, reverse=True):
+            text = text.replace(key, table[key])
+        return text
+
+    texts = ["a:-) >:-)😜 :P", "xDXD -_-' </3<3", "lol tl;dr from dm imo", "漢字 ❤️ 😺", "nothing", ""]
+    for table in (fixed.EMOTICONS, fixed.ABBREVIATIONS, {"ab": "cc", "cc": "ab", "": "x", "a": "b", "b": "ab", "c": "d"}):
+        used = {k: v for k, v in table.items() if k}
+        for text in [*texts, "abccab"]:
+            assert one(spark, tx.replace_all(F.lit(text), table)) == plain(text, used)
+
+
+def test_collapse_ws_of_every_blank(spark):
+    for blank in ["  ", "\t", "\n \n", " ", "  ", " 　", "\x1c", "\x85", "    "]:
+        assert one(spark, tx.collapse_ws(F.lit(f" a{blank}b c{blank}"))).rstrip() == "a b c"
+
+
+def test_styles_tokenize_once(spark):
+    text = "can't :-) @me http://a.b/c lol  x . . . y"
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    both = df.select(F.inline(F.array(tx.normalize_styles(F.col("t")))))
+    assert [tuple(r) for r in both.collect()] == [tuple(one(spark, tx.normalize_text(F.lit(text), s)) for s in ("plain", "bertweet")), (None, None)]
+    with pytest.raises(ValueError):
+        tx.normalize_styles(F.col("t"), ("other",))
+
+
+def test_bag_of_ngrams_moves_only_repeated_ids(spark):
+    rows = [(1, "a cat the cat the cat"), (2, "x"), (3, None), (4, "one two"), (4, "two one two"), (None, "dog"), (None, "dog dog")]
+    df = spark.createDataFrame(rows, "uid long, tweet_text string").coalesce(2)
+    found = {r["uid"]: tuple(r)[1:] for r in bag_of_ngrams(df).collect()}
+    assert found == {
+        1: (4, 9, 3, "cat"),
+        4: (4, 8, 3, "one"),
+        None: (2, 4, 3, "dog"),
+    }
+
+
+def test_bag_of_ngrams_shuffles_no_grams_of_single_rows(spark):
+    df = spark.createDataFrame([(i, f"word{i} other") for i in range(5)], "uid long, tweet_text string")
+    plan = bag_of_ngrams(df)._jdf.queryExecution().optimizedPlan().toString()
+    single = plan.split("Union")[1].split("Aggregate")[0]
+    assert "LeftAnti" in single and "Generate inline" in single and "explode" not in single
