@@ -261,3 +261,33 @@ def test_class_shares_add_up(make_docs):
             sums[lm_scores.class_of(word)] += 10 ** counts.within(word, n)
     for u, total in sums.items():
         assert total + 10 ** counts.unseen[u] == pytest.approx(1)
+
+
+def test_known_words_keep_their_numbers_in_step():
+    head = {b"ab": 5, "né".encode(): 3, b"\xff": 2}
+    counts = lm_scores.Counts(20, 5, 4, {b"ab": 1}, head, np.full(UNITS, 9.0), np.full(UNITS, 0.5), np.full(UNITS, -2.0))
+    known = lm_scores._Known(counts)
+    words = [b"ab", "né".encode(), b"\xff", b"new", b"x", "日本".encode(), b"ab"] + [b"w%d" % i for i in range(3000)]
+    for _ in range(2):
+        seen = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        assert [known.words[i] for i in seen] == words
+        assert known.unit[seen].tolist() == [counts.unit(w) for w in words]
+        assert known.head[seen].tolist() == [w in head for w in words]
+        assert known.base[seen].tolist() == [counts.base(head[w]) if w in head else 0.0 for w in words]
+        assert known.within[seen].tolist() == [counts.within(w, head[w]) if w in head else 0.0 for w in words]
+        known._empty()
+        known[b"x"]  # numbers begin anew, nothing of before is left
+
+
+def test_class_is_of_the_last_two_characters():
+    for word in (b"a", b"ing", "né".encode(), "日本語".encode(), b"a\xff", b"\xe6\x97x", b"xy\xc3"):
+        tail = word.decode(errors="replace")[-2:].encode()
+        assert lm_scores.class_of(word) == UNITS - lm_scores.CLASSES + zlib.crc32(tail) % lm_scores.CLASSES
+
+
+def test_large_scores_are_shifted():
+    model = start(np.ones(UNITS))
+    model.outputs *= 3000
+    contexts = np.arange(5 * 40).reshape(40, 5) % UNITS
+    logs = [model.log_probabilities(contexts, np.full(40, u)) for u in range(UNITS)]
+    assert np.isfinite(logs).all() and np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-4)

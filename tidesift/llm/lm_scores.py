@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log10
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -59,7 +58,10 @@ def words_of(text: str) -> list[bytes]:
 
 def class_of(word: bytes) -> int:
     """A word's class unit, by its last two characters."""
-    return UNITS - CLASSES + zlib.crc32(word.decode(errors="replace")[-2:].encode()) % CLASSES
+    tail = word[-2:]
+    if not tail.isascii():
+        tail = word.decode(errors="replace")[-2:].encode()
+    return UNITS - CLASSES + zlib.crc32(tail) % CLASSES
 
 
 @dataclass
@@ -144,25 +146,36 @@ def gather_counts(counts: DataFrame, ends: int) -> Counts:
 
 
 class _Known(dict):
-    """Word -> (unit, base, within, 1, 0) or, outside the head, (unit, 0, 0, 0, within if unseen)."""
+    """Word -> number; by number the word and its unit, and for head words base and within."""
 
     def __init__(self, counts: Counts):
         super().__init__()
         self.counts = counts
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        self.unit, self.head = np.zeros(1024, dtype=np.uint8), np.zeros(1024, dtype=bool)
+        self.base, self.within = np.zeros(1024), np.zeros(1024)
 
     def trim(self) -> None:
         if len(self) >= CACHED:
-            self.clear()
-
-    def __missing__(self, word: bytes) -> tuple:
-        counts = self.counts
-        n = counts.head.get(word, 0)
+            self._empty()
+
+    def __missing__(self, word: bytes) -> int:
+        counts, i = self.counts, len(self.words)
+        if i == len(self.unit):
+            for name in ("unit", "head", "base", "within"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.unit[i] = counts.unit(word)
+        n = counts.head.get(word)
         if n:
-            found = (counts.unit(word), counts.base(n), counts.within(word, n), 1, 0.0)
-        else:
-            found = (counts.unit(word), 0.0, 0.0, 0, counts.within(word, 0))
-        self[word] = found
-        return found
+            self.head[i], self.base[i], self.within[i] = True, counts.base(n), counts.within(word, n)
+        self.words.append(word)
+        self[word] = i
+        return i
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -170,7 +183,6 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     counts: Counts = shared_value(shared)
     part, row = TaskContext.get().partitionId() << 40, 0
     known = _Known(counts)
-    unit, base, within, is_head = (itemgetter(i) for i in range(4))
     end_base = counts.base(counts.ends)
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
@@ -179,18 +191,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             for text in piece.column(2):
                 words = words_of(text.as_py())
                 known.trim()
-                seen = list(map(known.__getitem__, words))
+                seen = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                is_head = known.head[seen]
                 out["rid"].append(part | row)
                 out["n_tokens"].append(len(words) + 1)
-                out["units"].append(bytes(map(unit, seen)) + bytes([END_UNIT]))
-                out["base"].append(sum(map(base, seen)) + end_base)
-                out["within"].append(sum(map(within, seen)))
-                heads = sum(map(is_head, seen))
-                out["known"].append(heads + (counts.ends > 0))
-                rest = heads < len(words)
+                out["units"].append(known.unit[seen].tobytes() + bytes([END_UNIT]))
+                out["base"].append(float(known.base[seen].sum()) + end_base)
+                out["within"].append(float(known.within[seen].sum()))
+                out["known"].append(int(is_head.sum()) + (counts.ends > 0))
                 # a word once per text, so that the join needs no aggregation before it
-                other = Counter((w, s[4]) for w, s in zip(words, seen, strict=True) if not s[3]) if rest else {}
-                out["rest"].append([(w, unseen, times) for (w, unseen), times in other.items()])
+                other = Counter(seen[~is_head].tolist())
+                out["rest"].append([(known.words[i], float(counts.unseen[known.unit[i]]), times) for i, times in other.items()])
                 row += 1
             rare = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float64()), ("times", pa.int64())]))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), rare]

@@ -19,6 +19,7 @@ WINDOW = 5
 NOISE = 64
 BATCH = 2048
 RATE = 0.1
+SAFE = 60.0  # sums of exponentials up to this stay inside single precision
 
 
 @dataclass
@@ -52,13 +53,22 @@ class Model:
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of each target unit."""
         out = np.empty(len(targets))
+        tables = [self.inputs * c for c in self.near]
+        # no score is larger than this; small ones need no shift before the exponential
+        reach = sum(np.linalg.norm(t, axis=1).max() for t in tables)
+        most = reach * np.linalg.norm(self.outputs, axis=1).max() + np.abs(self.bias).max()
         for low in range(0, len(targets), BATCH):
             part = slice(low, low + BATCH)
-            s = self.predict(contexts[part]) @ self.outputs.T + self.bias
-            s -= s.max(axis=1, keepdims=True)
+            r = tables[0][contexts[part, 0]]
+            for j in range(1, WINDOW):
+                r += tables[j][contexts[part, j]]
+            s = r @ self.outputs.T
+            s += self.bias
+            if not most < SAFE:
+                s -= s.max(axis=1, keepdims=True)
             own = s[np.arange(len(s)), targets[part]].astype(np.float64)
             np.exp(s, out=s)
-            out[part] = own - np.log(s.sum(axis=1, dtype=np.float64))
+            out[part] = own - np.log(s.sum(axis=1).astype(np.float64))
         return out
 
 
