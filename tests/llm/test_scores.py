@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidesift.llm import lm_scores
@@ -291,3 +292,48 @@ def test_large_scores_are_shifted():
     contexts = np.arange(5 * 40).reshape(40, 5) % UNITS
     logs = [model.log_probabilities(contexts, np.full(40, u)) for u in range(UNITS)]
     assert np.isfinite(logs).all() and np.allclose(np.exp(logs).sum(axis=0), 1, atol=1e-4)
+
+
+def test_words_are_split_as_by_python():
+    texts = ["", " \t\n", "a  B ", "\x1c\x1dX\x1eY\x1fz\x85q\xa0r", "É é ÀB c　d", "".join(map(chr, range(256))), "A\x00b a\x00B", "w " * 50]
+    places, rows, words = lm_scores.split_words(pa.array(texts))
+    listed = words.to_pylist()
+    assert len(set(listed)) == len(listed)
+    for i, text in enumerate(texts):
+        assert [listed[p] for p in places[rows == i]] == text.encode().lower().split()
+    assert [len(a) for a in lm_scores.split_words(pa.array([], pa.string()))] == [0, 0, 0]
+
+
+def test_classes_are_found_once_for_every_ending(monkeypatch):
+    words = [b"w%d-%s" % (i, end) for i in range(500) for end in (b"ing", b"x", "né".encode(), "日本".encode(), b"\xff", b"\xe6\x97x")]
+    words += [b"a", "é".encode(), "😀".encode(), b"\xa9", b"xy\xc3", b""]
+    each = lm_scores.class_of
+    expected, calls = [each(w) for w in words], []
+    monkeypatch.setattr(lm_scores, "class_of", lambda w: calls.append(w) or each(w))
+    assert lm_scores.classes_of(pa.array(words, pa.binary())).tolist() == expected
+    known = lm_scores._Known(lm_scores.Counts(0, 0, 0))
+    plain = [b"%d-%s" % (i, end) for i in range(500) for end in (b"ing", b"ed")]
+    calls.clear()
+    assert known.unit[known.numbers(pa.array(plain, pa.binary()))].tolist() == [each(w) for w in plain]
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("piece", [1, 40, 8 << 20])
+def test_pieces_keep_all_rows(monkeypatch, piece):
+    monkeypatch.setattr(lm_scores, "PIECE", piece)
+    texts = pa.array(["a b", "", "c " * 100, "", "d", "e f g"])
+    batches = [pa.RecordBatch.from_arrays([texts], names=["text"]), pa.RecordBatch.from_arrays([texts.slice(0, 0)], names=["text"])]
+    pieces = list(lm_scores.pieces_of(iter(batches), 0))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts.to_pylist()
+    assert all(sum(map(len, p.column(0).to_pylist()[:-1])) <= piece for p in pieces)
+
+
+def test_scores_are_the_softmax_of_all_units():
+    rng = np.random.default_rng(5)
+    model = start(rng.integers(1, 10_000, UNITS).astype(float))
+    model.inputs *= 5
+    contexts, targets = rng.integers(0, UNITS, (5000, WINDOW)), rng.integers(0, UNITS, 5000)
+    got = model.log_probabilities(contexts, targets)
+    r = sum(model.inputs.astype(float)[contexts[:, j]] * model.near[j] for j in range(WINDOW))
+    s = r @ model.outputs.T.astype(float) + model.bias
+    assert np.allclose(got, s[np.arange(5000), targets] - np.log(np.exp(s).sum(axis=1)), atol=1e-5)

@@ -28,23 +28,25 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidesift.llm.common import fold_of, shared_value, text_of
+from tidesift.llm.common import fold_of, int64, shared_value, text_of
 from tidesift.llm.common import share as broadcast_of
 from tidesift.llm.log_bilinear import UNITS, Model, Trainer, start, windows
 from tidesift.session import Workspace
 
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS = 100_000
-COUNTED = 400_000
+PIECE = 8 << 20  # bytes of text that are split into words together
 END_UNIT, SHORT_LIST, CLASSES = 0, 127, 128
 ROUNDS = 3
 TOKENS = 200_000  # tokens that train together
@@ -52,8 +54,28 @@ GROUPS = 32
 CACHED = 500_000
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def pieces_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut where their texts have grown by ``PIECE`` bytes; a longer text is a piece of its own."""
+    for batch in batches:
+        sizes = int64(pc.binary_length(batch.column(column)))
+        begun = (np.cumsum(sizes) - sizes) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(low, high - low)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For every word its place in the table of distinct words and its text's row; the table, which may hold the empty word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    encoded = pc.dictionary_encode(lists.flatten())
+    places, words = int64(encoded.indices), encoded.dictionary.cast(pa.binary())
+    rows = np.repeat(np.arange(len(texts)), int64(pc.list_value_length(lists)))
+    # blanks at the ends of a text
+    empty = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:
+        filled = places != empty
+        places, rows = places[filled], rows[filled]
+    return places, rows, words
 
 
 def class_of(word: bytes) -> int:
@@ -64,6 +86,21 @@ def class_of(word: bytes) -> int:
     return UNITS - CLASSES + zlib.crc32(tail) % CLASSES
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    """``class_of`` of an array of words, found once for every ending."""
+
+    def by_ending(some: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+        tails = pc.dictionary_encode(pc.binary_slice(some, -size))
+        listed, places = tails.dictionary.to_pylist(), int64(tails.indices)
+        found = np.array([class_of(t) for t in listed], dtype=np.int32)
+        return found[places], np.array([t.isascii() for t in listed], dtype=bool)[places]
+
+    classes, plain = by_ending(words, 2)
+    if not plain.all():  # two characters have up to eight bytes
+        classes[~plain] = by_ending(words.filter(pa.array(~plain)), 8)[0]
+    return classes
+
+
 @dataclass
 class Counts:
     """Corpus statistics of bounded size."""
@@ -92,23 +129,11 @@ class Counts:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counted: Counter) -> pa.RecordBatch:
-        words = list(counted)
-        columns = [
-            pa.array(words, pa.binary()),
-            pa.array([class_of(w) for w in words], pa.int32()),
-            pa.array(list(counted.values()), pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "cls", "n"])
-
-    counted: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counted.update(words_of(text.as_py()))
-            if len(counted) > COUNTED:
-                yield rows(counted)
-                counted = Counter()
-    yield rows(counted)
+    for piece in pieces_of(batches, 0):
+        places, _, words = split_words(piece.column(0))
+        n = np.bincount(places, minlength=len(words))
+        words, n = words.filter(pa.array(n > 0)), n[n > 0]
+        yield pa.RecordBatch.from_arrays([words, pa.array(classes_of(words)), pa.array(n)], names=["word", "cls", "n"])
 
 
 def gather_counts(counts: DataFrame, ends: int) -> Counts:
@@ -163,19 +188,31 @@ class _Known(dict):
         if len(self) >= CACHED:
             self._empty()
 
-    def __missing__(self, word: bytes) -> int:
-        counts, i = self.counts, len(self.words)
-        if i == len(self.unit):
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words; new words are entered together."""
+        listed = words.to_pylist()
+        found = np.fromiter(map(self.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        counts, fresh, low = self.counts, [listed[i] for i in new], len(self.words)
+        high = low + len(fresh)
+        while high > len(self.unit):
             for name in ("unit", "head", "base", "within"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.unit[i] = counts.unit(word)
-        n = counts.head.get(word)
-        if n:
-            self.head[i], self.base[i], self.within[i] = True, counts.base(n), counts.within(word, n)
-        self.words.append(word)
-        self[word] = i
-        return i
+        self.unit[low:high] = classes_of(words.take(pa.array(new)))
+        for i, (word, n) in enumerate(zip(fresh, map(counts.head.get, fresh), strict=True), low):
+            if n:
+                self.unit[i], self.head[i] = counts.short.get(word, self.unit[i]), True
+                self.base[i], self.within[i] = counts.base(n), counts.within(word, n)
+        self.words += fresh
+        found[new] = np.arange(low, high)
+        self.update(zip(fresh, range(low, high), strict=True))
+        return found
+
+    def __missing__(self, word: bytes) -> int:
+        return int(self.numbers(pa.array([word], pa.binary()))[0])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -184,30 +221,35 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     part, row = TaskContext.get().partitionId() << 40, 0
     known = _Known(counts)
     end_base = counts.base(counts.ends)
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            piece = batch.slice(low, 1000)
-            out: dict[str, list] = {k: [] for k in ("rid", "n_tokens", "units", "base", "within", "known", "rest")}
-            for text in piece.column(2):
-                words = words_of(text.as_py())
-                known.trim()
-                seen = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                is_head = known.head[seen]
-                out["rid"].append(part | row)
-                out["n_tokens"].append(len(words) + 1)
-                out["units"].append(known.unit[seen].tobytes() + bytes([END_UNIT]))
-                out["base"].append(float(known.base[seen].sum()) + end_base)
-                out["within"].append(float(known.within[seen].sum()))
-                out["known"].append(int(is_head.sum()) + (counts.ends > 0))
-                # a word once per text, so that the join needs no aggregation before it
-                other = Counter(seen[~is_head].tolist())
-                out["rest"].append([(known.words[i], float(counts.unseen[known.unit[i]]), times) for i, times in other.items()])
-                row += 1
-            rare = pa.list_(pa.struct([("word", pa.binary()), ("unseen", pa.float64()), ("times", pa.int64())]))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), rare]
-            columns = [piece.column(0), piece.column(1)]
-            columns += [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", *out])
+    kinds = [pa.binary(), pa.float64(), pa.int64()]
+    for piece in pieces_of(batches, 2):
+        known.trim()
+        places, rows, words = split_words(piece.column(2))
+        n, types = piece.num_rows, max(len(words), 1)
+        seen = known.numbers(words)
+        unit, is_head = known.unit[seen], known.head[seen][places]
+        lengths = np.bincount(rows, minlength=n) + 1
+        borders = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        units = np.full(borders[-1], END_UNIT, dtype=np.uint8)
+        units[np.arange(len(places)) + rows] = unit[places]
+        # a word once per text, so that the join needs no aggregation before it
+        pairs, times = np.unique(rows[~is_head] * types + places[~is_head], return_counts=True)
+        text, word = np.divmod(pairs, types)
+        rare = [words.take(pa.array(word)), pa.array(counts.unseen[unit[word]]), pa.array(times)]
+        others = pa.StructArray.from_arrays([v.cast(t) for v, t in zip(rare, kinds, strict=True)], names=["word", "unseen", "times"])
+        out = {
+            "doc_id": piece.column(0),
+            "held_out": piece.column(1),
+            "rid": pa.array(part | (row + np.arange(n))),
+            "n_tokens": pa.array(lengths),
+            "units": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(borders), pa.py_buffer(units)]),
+            "base": pa.array(np.bincount(rows, known.base[seen][places], n) + end_base, pa.float64()),
+            "within": pa.array(np.bincount(rows, known.within[seen][places], n), pa.float64()),
+            "known": pa.array(np.bincount(rows[is_head], minlength=n) + (counts.ends > 0)),
+            "rest": pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), others),
+        }
+        row += n
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
 def _batches_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

@@ -45,30 +45,34 @@ class Model:
 
     def predict(self, contexts: np.ndarray) -> np.ndarray:
         """Predicted vectors for (n, WINDOW) units, nearest first."""
-        r = self.inputs[contexts[:, 0]] * self.near[0]
+        r = (self.inputs * self.near[0]).take(contexts[:, 0], axis=0)
         for j in range(1, WINDOW):
-            r += self.inputs[contexts[:, j]] * self.near[j]
+            r += (self.inputs * self.near[j]).take(contexts[:, j], axis=0)
         return r
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised natural log-probability of each target unit."""
         out = np.empty(len(targets))
-        tables = [self.inputs * c for c in self.near]
         # no score is larger than this; small ones need no shift before the exponential
-        reach = sum(np.linalg.norm(t, axis=1).max() for t in tables)
+        reach = sum(np.linalg.norm(self.inputs * c, axis=1).max() for c in self.near)
         most = reach * np.linalg.norm(self.outputs, axis=1).max() + np.abs(self.bias).max()
+        to_scores = np.ascontiguousarray(self.outputs.T)
+        weights = np.exp(self.bias) if most < SAFE else None
+        # written anew for every batch, as fresh memory costs more than the sums
+        scores = np.empty((min(BATCH, len(targets)), UNITS), dtype=np.float32)
         for low in range(0, len(targets), BATCH):
             part = slice(low, low + BATCH)
-            r = tables[0][contexts[part, 0]]
-            for j in range(1, WINDOW):
-                r += tables[j][contexts[part, j]]
-            s = r @ self.outputs.T
-            s += self.bias
-            if not most < SAFE:
+            r = self.predict(contexts[part])
+            s = np.matmul(r, to_scores, out=scores[: len(r)])
+            if weights is None:
+                s += self.bias
                 s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(s)), targets[part]].astype(np.float64)
-            np.exp(s, out=s)
-            out[part] = own - np.log(s.sum(axis=1).astype(np.float64))
+                own = s[np.arange(len(s)), targets[part]].astype(np.float64)
+                total = np.exp(s, out=s).sum(axis=1)
+            else:
+                own = s.ravel().take(np.arange(0, s.size, UNITS) + targets[part]) + self.bias.take(targets[part]).astype(np.float64)
+                total = np.exp(s, out=s) @ weights
+            out[part] = own - np.log(total.astype(np.float64))
         return out
 
 
@@ -93,16 +97,16 @@ def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
         target[at : at + len(s)] = True
         at += len(s)
     places = np.flatnonzero(target)
-    contexts = np.stack([line[places - j] for j in range(1, WINDOW + 1)], axis=1)
-    return contexts, line[places]
+    contexts = np.stack([line.take(places - j) for j in range(1, WINDOW + 1)], axis=1)
+    return contexts, line.take(places)
 
 
 def _summed(rows: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct units and the sums of their rows."""
     order = np.argsort(units, kind="stable")
-    ordered = units[order]
-    heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[heads].astype(np.int64), np.add.reduceat(rows[order], heads, axis=0)
+    ordered = units.take(order)
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered.take(heads).astype(np.int64), np.add.reduceat(rows.take(order, axis=0), heads, axis=0)
 
 
 class Trainer:
@@ -126,13 +130,24 @@ class Trainer:
         noise = np.unique(np.minimum(np.searchsorted(self.ladder, self.rng.random(NOISE)), UNITS - 1), return_counts=True)
         drawn, times = noise[0], noise[1].astype(np.float32)
         r = m.predict(contexts)
-        true = np.einsum("ij,ij->i", r, m.outputs[targets]) + m.bias[targets] - self.log_noise[targets]
+        own, others = m.outputs.take(targets, axis=0), m.outputs[drawn]
+        true = np.einsum("ij,ij->i", r, own) + m.bias.take(targets) - self.log_noise.take(targets)
         pull = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        false = r @ m.outputs[drawn].T + (m.bias[drawn] - self.log_noise[drawn])
-        push = times / (1 + np.exp(-np.clip(false, -30, 30)))
-        to_r = pull[:, None] * m.outputs[targets] - push @ m.outputs[drawn]
+        # times / (1 + exp(-clipped score)), in one place
+        push = r @ others.T
+        push += m.bias[drawn] - self.log_noise[drawn]
+        np.clip(push, -30, 30, out=push)
+        np.negative(push, out=push)
+        np.exp(push, out=push)
+        push += 1
+        np.divide(times, push, out=push)
+        to_r = np.multiply(own, pull[:, None], out=own)
+        to_r -= push @ others
         scale = np.float32(1 / n)
-        units, pulled = _summed(np.concatenate([pull[:, None] * r, pull[:, None]], axis=1), targets)
+        pulls = np.empty((n, WIDTH + 1), dtype=np.float32)
+        np.multiply(r, pull[:, None], out=pulls[:, :WIDTH])
+        pulls[:, WIDTH] = pull
+        units, pulled = _summed(pulls, targets)
         gradient = np.zeros((UNITS, WIDTH + 1), dtype=np.float32)
         gradient[units] = pulled
         gradient[drawn, :WIDTH] -= push.T @ r
@@ -153,4 +168,4 @@ class Trainer:
         order = self.rng.permutation(len(targets))
         for low in range(0, len(order), BATCH):
             part = order[low : low + BATCH]
-            self.batch(contexts[part], targets[part])
+            self.batch(contexts.take(part, axis=0), targets.take(part))
