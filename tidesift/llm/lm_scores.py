@@ -55,7 +55,7 @@ CACHED = 500_000
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts have grown by ``PIECE`` bytes; a longer text is a piece of its own."""
+    """Batches cut behind every text that passes another ``PIECE`` bytes."""
     for batch in batches:
         sizes = int64(pc.binary_length(batch.column(column)))
         begun = (np.cumsum(sizes) - sizes) // PIECE
